@@ -29,7 +29,7 @@ def rules(text: Column) -> dict[str, Column]:
     """Rule name -> true where the text is rejected. A null text is rejected as blank."""
     words = F.split(text, " ")
     lines = F.split(text, "\n")
-    again = F.size(F.filter(words, lambda w, i: (i > 0) & (w == F.get(words, i - 1))))
+    again = F.size(F.filter(F.zip_with(words, F.slice(words, 2, F.size(words)), lambda w, after: w == after), lambda same: same))
     return {
         "blank": F.coalesce(F.length(F.trim(text)) == 0, F.lit(True)),
         "symbols": _share(text, SYMBOLS) > MAX_SYMBOLS,
