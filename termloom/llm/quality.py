@@ -18,16 +18,18 @@ CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜ"
 DIGITS = "0123456789"
 #: Rows that the cost and selectivity estimates are drawn from, spread over the whole table.
 SAMPLE_ROWS = 2000
-MAX_SYMBOLS, MAX_CAPITALS, MAX_DIGITS, MAX_REPEATED_WORDS, MAX_REPEATED_LINES, MAX_WORD_CHARS = 0.03, 0.3, 0.3, 0.1, 0.3, 25
+MAX_SYMBOLS, MAX_CAPITALS, MAX_DIGITS, MAX_REPEATED_WORDS, MAX_REPEATED_LINES, MAX_WORD_CHARS = 0.03, 0.3, 0.6, 0.1, 0.5, 25
 
 
 def _share(text: Column, chars: str) -> Column:
-    return (F.length(text) - F.length(F.translate(text, chars, ""))) / F.length(text)
+    held = "".join("\\" + c if c in "\\^[]-&" else c for c in chars)
+    return F.length(F.regexp_replace(text, f"[^{held}]+", "")) / F.length(text)
 
 
 def rules(text: Column) -> dict[str, Column]:
     """Rule name -> true where the text is rejected. A null text is rejected as blank."""
-    words = F.split(text, " ")
+    words = F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " ")
+    gaps = F.length(text) * 2 - F.length(F.replace(text, F.lit(" "), F.lit(""))) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
     lines = F.split(text, "\n")
     again = F.size(F.filter(F.zip_with(words, F.slice(words, 2, F.size(words)), lambda w, after: w == after), lambda same: same))
     return {
@@ -35,7 +37,7 @@ def rules(text: Column) -> dict[str, Column]:
         "symbols": _share(text, SYMBOLS) > MAX_SYMBOLS,
         "capitals": _share(text, CAPITALS) > MAX_CAPITALS,
         "digits": _share(text, DIGITS) > MAX_DIGITS,
-        "long_words": F.length(text) / (F.length(text) - F.length(F.translate(text, " \n", "")) + 1) > MAX_WORD_CHARS,
+        "long_words": F.length(text) / (gaps + 1) > MAX_WORD_CHARS,
         "repeated_lines": (F.size(lines) - F.size(F.array_distinct(lines))) / F.size(lines) > MAX_REPEATED_LINES,
         "repeated_words": again / F.size(words) > MAX_REPEATED_WORDS,
     }
@@ -48,7 +50,7 @@ def measure(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_R
     """
     rows = docs.count()
     texts = docs.select(F.col(text_col).cast("string").alias("t"))
-    sample = (texts.sample(fraction=min(1.0, sample_rows / rows), seed=7) if rows > sample_rows else texts).persist()
+    sample = (texts.sample(fraction=min(1.0, sample_rows / rows), seed=7) if rows > sample_rows else texts).coalesce(4).persist()
     try:
         held = sample.agg(F.count("*"), F.max("t")).first()[0]
         found = []
@@ -87,7 +89,7 @@ def oracle_sql(table: str = "documents") -> str:
     sql_share = lambda chars: f"(length(text) - length(translate(text, '{chars}', ''))) / length(text)"
     return f"""
 SELECT doc_id, text, lang, source, n_chars FROM (
-  SELECT *, string_split(text, ' ') AS w, string_split(text, chr(10)) AS l FROM {table} WHERE length(trim(text)) > 0)
+  SELECT *, string_split(replace(text, chr(10), ' '), ' ') AS w, string_split(text, chr(10)) AS l FROM {table} WHERE length(trim(text)) > 0)
 WHERE {sql_share(SYMBOLS)} <= {MAX_SYMBOLS} AND {sql_share(CAPITALS)} <= {MAX_CAPITALS} AND {sql_share(DIGITS)} <= {MAX_DIGITS}
   AND length(text) / (length(text) - length(translate(text, ' ' || chr(10), '')) + 1) <= {MAX_WORD_CHARS}
   AND (len(l) - len(list_distinct(l))) / len(l) <= {MAX_REPEATED_LINES}
