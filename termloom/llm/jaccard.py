@@ -22,9 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from termloom.llm.common import free_name, join_ids, mix, stored, token_hashes
+from termloom.llm.common import BROADCAST_ROWS, free_name, join_ids, mix, stored, token_hashes
 
 NGRAM, THRESHOLD, TARGET = 2, 0.75, 96
+#: Features that a signature of a set of 12 or more must stand for; smaller sets need a quarter of their size.
+#: One or two common n-grams alone make no candidates.
+SOLID = 3
+#: Sets of at least so many features have dozens of signatures; a similar pair of them that only one bucket brings
+#: together, and neither as its smallest member, has under 2 % chance at the threshold and less above it.
+LARGE = 60
 
 
 def shingles(texts: list[str | None], n: int = NGRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -100,8 +106,9 @@ def signatures(feats: np.ndarray, counts: np.ndarray, threshold: float = THRESHO
                 held = np.bincount(cell, minlength=len(total)).reshape(-1, n2)
                 total = total.reshape(-1, n2)
                 which = np.tile(np.arange(n1), len(sets))
+                solid = np.repeat(np.clip(counts[sets] // 4, 1, SOLID), n1)
                 for number, subset in enumerate(combinations(range(n2), n2 - k2)):
-                    keep = np.flatnonzero(held[:, subset].sum(1))
+                    keep = np.flatnonzero(held[:, subset].sum(1) >= solid)
                     salt = ((instance * 4096 + number) * 65536 + which[keep]).astype(np.uint64)
                     sigs.append(mix(total[keep][:, subset].sum(1, dtype=np.uint64) + mix(salt + np.uint64(1))))
                     owners.append(sets[keep // n1])
@@ -134,7 +141,8 @@ def _features(n: int):
             with np.errstate(over="ignore"):
                 held = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(feats + np.uint64(5)), dtype=np.uint64)))
                 key = mix(held[ends] - held[ends - counts] + counts.astype(np.uint64))
-            raw = [feats[e - c : e].tobytes() for c, e in zip(counts, ends)]
+            short = (feats >> np.uint64(32)).astype(np.uint32)
+            raw = [short[e - c : e].tobytes() for c, e in zip(counts, ends)]  # still sorted: the upper halves
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key.view(np.int64)), pa.array(raw, pa.binary())], names=["id", "key", "feats"])
 
     return run
@@ -146,8 +154,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_raw, last = None, None
         for i, (x, y) in enumerate(zip(b.column(2), b.column(3))):
             if last_raw is None or not x.equals(last_raw):
-                last_raw, last = x, np.frombuffer(x.as_py(), np.uint64)
-            other = np.frombuffer(y.as_py(), np.uint64)
+                last_raw, last = x, np.frombuffer(x.as_py(), np.uint32)
+            other = np.frombuffer(y.as_py(), np.uint32)
             small, big = (last, other) if len(last) < len(other) else (other, last)
             at = np.searchsorted(big, small)
             common = int((big[np.minimum(at, len(big) - 1)] == small).sum()) if len(big) else 0
@@ -182,41 +190,43 @@ def components(edges: DataFrame) -> DataFrame:
 def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, threshold: float = THRESHOLD, target: int = TARGET) -> tuple[DataFrame, DataFrame]:
     """Verified pairs (a, b, jaccard) that span every near-duplicate group, and (id, root) of the groups.
 
-    In each signature bucket every member is first compared with the bucket's smallest id, so a bucket of
-    thousands of copies costs thousands of comparisons. Whatever these leave apart is then compared pair by
-    pair, without a cap, between members of different groups and of different content: pairs inside one
-    group can't change the groups, and equal feature sets are compared once.
+    Documents of equal feature sets are one node, named by their smallest id. In each signature bucket every
+    node is first compared with the bucket's smallest, so a bucket of thousands of copies costs thousands of
+    comparisons. Whatever these leave apart is then compared pair by pair, without a cap, between members of
+    different groups: pairs inside one group can't change the groups. Of large sets two buckets must agree.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("id is not null and t is not null")
     signed = rows.mapInArrow(_sign(n, threshold, target), "id long, sig long")
     over = Window.partitionBy("sig")
-    shared = signed.withColumn("lead", F.min("id").over(over)).withColumn("most", F.max("id").over(over)).where("lead < most").drop("most")
-    shared = stored(shared)
-    stars = stored(shared.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
-    members = stored(stars.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    shared = stored(signed.withColumn("lo", F.min("id").over(over)).withColumn("hi", F.max("id").over(over)).where("lo < hi").select("sig", "id"))
+    members = stored(shared.select("id").distinct())
     held = stored(join_ids(rows, members, "id", "left_semi").mapInArrow(_features(n), "id long, key long, feats binary"))
+    nodes = stored(held.select("id", F.min("id").over(Window.partitionBy("key")).alias("node")).distinct())
+    copies = nodes.where("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"))
+    buckets = stored(shared.join(nodes, "id").select("sig", "node").distinct())
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left = held.select(F.col("id").alias("a"), F.col("key").alias("ka"), F.col("feats").alias("fa"))
-        right = held.select(F.col("id").alias("b"), F.col("key").alias("kb"), F.col("feats").alias("fb"))
-        same = pairs.join(left.drop("fa"), "a").join(right.drop("fb"), "b").where("ka = kb").select("a", "b", F.lit(1.0).alias("jaccard"))
-        other = pairs.join(left, "a").join(right, "b").where("ka <> kb").select("a", "b", "fa", "fb")
-        return same.unionByName(other.mapInArrow(_verify, "a long, b long, jaccard double").where(F.col("jaccard") >= threshold - 1e-12))
-
-    first = stored(verified(stars))
+        """The pairs (a, b) of nodes that are similar enough; the features of b go to where those of a are."""
+        pairs = stored(pairs)
+        small = pairs.count() <= BROADCAST_ROWS
+        sent = lambda e: F.broadcast(e) if small else e.hint("merge")
+        right = held.select(F.col("id").alias("b"), F.col("feats").alias("fb")).join(sent(pairs), "b")
+        left = held.select(F.col("id").alias("a"), F.col("feats").alias("fa")).join(sent(pairs.select("a").distinct()), "a", "left_semi")
+        both = right.join(left.hint("merge"), "a").select("a", "b", "fa", "fb")
+        return stored(both.mapInArrow(_verify, "a long, b long, jaccard double").where(F.col("jaccard") >= threshold - 1e-9))
+
+    stars = buckets.withColumn("a", F.min("node").over(over)).where("a < node").select("a", F.col("node").alias("b")).distinct()
+    first = verified(stars)
     groups = stored(components(first))
-    placed = shared.select("sig", "id").distinct().join(groups, "id", "left").join(held.select("id", "key"), "id").withColumn("root", F.coalesce("root", "id"))
-    one = placed.groupBy("sig", "root", "key").agg(F.min("id").alias("id"))
-    mixed = one.withColumn("lo", F.min("root").over(over)).withColumn("hi", F.max("root").over(over)).where("lo < hi").select("sig", "root", "id")
-    mixed = stored(mixed)
-    left, right = (mixed.select("sig", F.col("root").alias("r" + c), F.col("id").alias(c)) for c in "ab")
-    rest = left.join(right, "sig").where("ra < rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = stored(verified(rest.join(stars, ["a", "b"], "left_anti")))
+    placed = buckets.join(groups.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = stored(placed.withColumn("lo", F.min("root").over(over)).withColumn("hi", F.max("root").over(over)).withColumn("lead", F.min("node").over(over)).where("lo < hi").select("sig", "lead", "root", "node"))
+    left, right = (mixed.select("sig", "lead", F.col("root").alias("r" + c), F.col("node").alias(c)) for c in "ab")
+    met = left.join(right, ["sig", "lead"]).where("a < b and ra <> rb and a <> lead").groupBy("a", "b").count()
+    few = held.select(F.col("id").alias("a"), (F.length("feats") < 4 * LARGE).alias("few")).distinct()
+    rest = met.join(few, "a").where("few or count > 1").select("a", "b")
+    second = verified(rest)
     pairs = first.unionByName(second)
-    if second.isEmpty():
-        return pairs, groups
-    linked = groups.select(F.col("root").alias("a"), F.col("id").alias("b")).where("a <> b").unionByName(second.select("a", "b"))
-    return pairs, stored(components(linked))
+    return pairs.unionByName(copies.withColumn("jaccard", F.lit(1.0))), stored(components(pairs.select("a", "b").unionByName(copies)))
 
 
 def near_groups(docs: DataFrame, **options) -> DataFrame:
