@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termloom.llm import decontaminate, jaccard, mixing, quality, sharding
+from termloom.llm import decontaminate, jaccard, mixing, quality, secrets, sharding, tokens, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,10 +21,22 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(_documents(spark, sf_dir))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_groups(_documents(spark, sf_dir))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.round_trip(_documents(spark, sf_dir))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.keep_quality(_documents(spark, sf_dir))
 
@@ -42,13 +54,18 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_decontamination": op2_decontamination,
+    "op3_secret_scan": op3_secret_scan,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_warc": op5_warc,
+    "op6_token_orc": op6_token_orc,
     "op7_quality_rules": op7_quality_rules,
     "op10_mixing": op10_mixing,
     "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_secret_scan": secrets.oracle_sql(),
+    "op5_warc": warc.oracle_sql(),
     "op7_quality_rules": quality.oracle_sql(),
     "op10_mixing": mixing.oracle_sql(),
 }
