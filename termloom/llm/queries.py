@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termloom.llm import decontaminate, jaccard, mixing, quality, secrets, sharding, tokens, warc
+from termloom.llm import decontaminate, html, jaccard, mixing, pii, quality, secrets, sharding, tokens, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,14 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.keep_quality(_documents(spark, sf_dir))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(_documents(spark, sf_dir))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_documents(spark, sf_dir))
 
@@ -59,6 +67,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_token_orc": op6_token_orc,
     "op7_quality_rules": op7_quality_rules,
+    "op8_pii": op8_pii,
+    "op9_html_extraction": op9_html_extraction,
     "op10_mixing": op10_mixing,
     "pipeline": pipeline,
 }
