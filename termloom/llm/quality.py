@@ -23,7 +23,7 @@ MAX_SYMBOLS, MAX_CAPITALS, MAX_DIGITS, MAX_REPEATED_WORDS, MAX_REPEATED_LINES, M
 
 def _share(text: Column, chars: str) -> Column:
     held = "".join("\\" + c if c in "\\^[]-&" else c for c in chars)
-    return F.length(F.regexp_replace(text, f"[^{held}]+", "")) / F.length(text)
+    return F.length(F.regexp_replace(text, f"[^{held}]+", "")) / F.greatest(F.length(text), F.lit(1))
 
 
 def rules(text: Column) -> dict[str, Column]:
