@@ -130,23 +130,21 @@ def nearest(urls: DataFrame) -> DataFrame:
     the earlier counts. A host of one page has no row here.
     """
     pages = urls.groupBy("host", "path").agg(F.min("row").alias("row"))
-    placed = stored(pages.repartitionByRange("host", "path").sortWithinPartitions("host", "path").withColumn("part", F.spark_partition_id()))
-    whole = F.struct("host", "path", "row")
-    within = Window.partitionBy("part").orderBy("host", "path")
+    pages = pages.withColumn("parts", F.split("path", "/"))  # part by part, pages of one folder stand together
+    placed = stored(pages.repartitionByRange("host", "parts").sortWithinPartitions("host", "parts").withColumn("part", F.spark_partition_id()))
+    whole = F.struct("host", "parts", "path", "row")
+    within = Window.partitionBy("part").orderBy("host", "parts")
     edges = placed.groupBy("part").agg(F.min(whole).alias("first"), F.max(whole).alias("last"))  # one row for each task
     along = Window.partitionBy(F.lit(0)).orderBy("part")
     edges = edges.select("part", F.lag("last").over(along).alias("before"), F.lead("first").over(along).alias("after"))
     near = placed.withColumn("up", F.lag(whole).over(within)).withColumn("down", F.lead(whole).over(within)).join(F.broadcast(edges), "part")
-    near = near.select("host", "path", F.coalesce("up", "before").alias("up"), F.coalesce("down", "after").alias("down"))
+    near = near.select("host", "path", "parts", F.coalesce("up", "before").alias("up"), F.coalesce("down", "after").alias("down"))
     both = lambda side: F.when(F.col(side)["host"] == F.col("host"), F.col(side))
     near = near.withColumn("up", both("up")).withColumn("down", both("down"))
 
     def alike(side: str) -> Column:  # whole path parts in common, then characters
-        other = F.col(side)["path"]
-        parts = F.size(F.filter(F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda n: F.substring_index(F.col("path"), "/", n) == F.substring_index(other, "/", n)), lambda same: same))
-        most = F.least(F.length("path"), F.length(other))
-        apart = F.array_position(F.transform(F.sequence(F.lit(1), most + 1), lambda i: F.substring(F.col("path"), i, 1) == F.substring(other, i, 1)), F.lit(False))
-        return F.struct(parts, F.when(apart > 0, apart).otherwise(most + 1))
+        first_apart = lambda x, y: F.array_position(F.zip_with(x, y, lambda a, b: a.eqNullSafe(b)), F.lit(False))
+        return F.struct(first_apart(F.col("parts"), F.col(side)["parts"]), first_apart(F.split("path", ""), F.split(F.col(side)["path"], "")))
 
     chosen = F.when(F.col("up").isNull(), F.col("down")).when(F.col("down").isNull() | (alike("up") >= alike("down")), F.col("up")).otherwise(F.col("down"))
     return near.select("host", "path", chosen["row"].alias("nearest")).where("nearest is not null")
