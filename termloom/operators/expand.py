@@ -256,7 +256,11 @@ def cluster_patterns(h: Hits, scale: bool = True) -> list[tuple[int, str, float]
         m = m / np.maximum(1e-12, m.std(0, ddof=1))
     own, centre = cosine_means(m.T)
     near = _unit(m.T) @ centre.T
-    return [(c, w, s) for c in range(len(centre)) for w, s in h.scores(h.member[:, own == c] @ near[own == c, c]) if h.member[h.words.index(w), own == c].any()]
+    out = []
+    for c in range(len(centre)):
+        held = h.member[:, own == c]
+        out += [(c, w, float(s)) for w, s, there in zip(h.words, held @ near[own == c, c], held.any(1)) if there and w not in h.query]
+    return out
 
 
 def cluster_terms(h: Hits) -> list[tuple[int, str, float]]:

@@ -58,31 +58,34 @@ def matches(posted: DataFrame, terms: DataFrame, mode: str = "or", absent: str |
     return met
 
 
-def subset_boost(weights: list[float]) -> float:
-    """Sum over the non-empty subsets of a query's matched terms of the subset's share of weight."""
-    total = sum(weights)
-    return sum(sum(w for i, w in enumerate(weights) if mask >> i & 1) / total for mask in range(1, 1 << len(weights))) if total else 0.0
-
-
-def bm25(met: DataFrame, idf: DataFrame, k1: float = K1, b: float = B, average: float = AVERAGE_LENGTH, binary: bool = True, powerset: bool = False) -> DataFrame:
+def bm25(met: DataFrame, idf: DataFrame, k1: float = K1, b: float = B, average: float = AVERAGE_LENGTH, binary: bool = True, powerset: DataFrame | None = None) -> DataFrame:
     """(qid, doc_id, score): sum of qw * wt * idf / (k1 + wt), wt = tf / ((1 - b) + b * len / average).
 
-    With k1 = 0 lengths and counts cancel. `powerset` boosts by the subsets of the query that a document matches:
-    m matched terms lie in 2^(m-1) subsets each.
+    With k1 = 0 lengths and counts cancel. `powerset` (the query terms) boosts a document by the share of the query's
+    subsets of terms that it holds: m of n terms make 2^m - 1 of 2^n - 1 subsets.
     """
     tf = F.lit(1.0) if binary else F.col("tf").cast("double")
     wt = tf / ((1 - b) + b * F.col("len") / average)
     each = F.col("qw") * wt * F.col("idf") / (k1 + wt)
-    scored = met.join(sized(table(idf.select("term", "idf"))), "term").groupBy("qid", "doc_id").agg(F.sum(each).alias("score"), F.count("*").alias("n"))
-    return scored.select("qid", "doc_id", F.round(F.col("score") * (F.pow(F.lit(2.0), F.col("n") - 1) if powerset else 1.0), 6).alias("score"))
+    scored = met.join(sized(table(idf.select("term", "idf"))), "term").groupBy("qid", "doc_id").agg(F.sum(each).alias("score"), F.count("*").cast("double").alias("m"))
+    if powerset is not None:
+        size = powerset.groupBy("qid").agg(F.count("*").cast("double").alias("n"))
+        subsets = lambda x: F.pow(F.lit(2.0), x) - 1
+        scored = scored.join(sized(table(size)), "qid").withColumn("score", F.col("score") * subsets(F.col("m")) / subsets(F.col("n")))
+    return scored.select("qid", "doc_id", F.round("score", 6).alias("score"))
 
 
 def bm25_grid(met: DataFrame, idf: DataFrame, bs: list[float], k1s: list[float], average: float) -> DataFrame:
-    """(b, k1, qid, doc_id, score) of every parameter pair in one pass over the matches; tf and length count here."""
-    grid = F.array(*[F.struct(F.lit(x).alias("b"), F.lit(y).alias("k1")) for x in bs for y in k1s])
-    wide = met.join(sized(table(idf.select("term", "idf"))), "term").withColumn("g", F.explode(grid))
-    wt = F.col("tf") / ((1 - F.col("g.b")) + F.col("g.b") * F.col("len") / average)
-    return wide.groupBy(F.col("g.b").alias("b"), F.col("g.k1").alias("k1"), "qid", "doc_id").agg(F.round(F.sum(F.col("qw") * wt * F.col("idf") / (F.col("g.k1") + wt)), 6).alias("score"))
+    """(b, k1, qid, doc_id, score) of every parameter pair in one pass over the matches; tf and length count here.
+
+    A match feeds one sum for each pair; only the sums of a document are spread over rows.
+    """
+    pairs = [(b, k1) for b in bs for k1 in k1s]
+    wt = lambda b: F.col("tf") / ((1 - b) + b * F.col("len") / average)
+    sums = [F.sum(F.col("qw") * wt(b) * F.col("idf") / (k1 + wt(b))).alias(f"s{i}") for i, (b, k1) in enumerate(pairs)]
+    wide = met.join(sized(table(idf.select("term", "idf"))), "term").groupBy("qid", "doc_id").agg(*sums)
+    each = F.explode(F.array(*[F.struct(F.lit(b).alias("b"), F.lit(k1).alias("k1"), F.col(f"s{i}").alias("s")) for i, (b, k1) in enumerate(pairs)]))
+    return wide.select("qid", "doc_id", each.alias("g")).select("g.b", "g.k1", "qid", "doc_id", F.round("g.s", 6).alias("score"))
 
 
 def top(scored: DataFrame, n: int = RESULTS, by: tuple[str, ...] = ("qid",), tie: str = "doc_id") -> DataFrame:

@@ -10,8 +10,6 @@ from termloom.operators.counts import epoch_seconds
 from termloom.sources.shared import table
 
 SUPPORT = 2
-#: Words of a benchmark item that make its query.
-QUERY_WORDS = 3
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +29,7 @@ def mined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topic_terms(spark: SparkSession, sf_dir: str, padding: tuple[str, ...] = ()) -> DataFrame:
-    return search.query_terms(load(spark, sf_dir, "benchmark"), "item_id", "text", QUERY_WORDS, padding)
+    return search.query_terms(load(spark, sf_dir, "benchmark"), "item_id", "text", padding=padding)
 
 
 def posted(spark: SparkSession, sf_dir: str, terms: DataFrame | None = None) -> DataFrame:
@@ -40,8 +38,8 @@ def posted(spark: SparkSession, sf_dir: str, terms: DataFrame | None = None) ->
 
 
 def pair_terms(patterns: DataFrame) -> DataFrame:
-    """The 20 best supported pairs as queries (qid, term, qw)."""
-    pairs = patterns.where("size(items) = 2").select("items", "support", mining.key().alias("k")).orderBy(F.desc("support"), F.desc("k")).limit(20)
+    """Every frequent pair as a query (qid, term, qw)."""
+    pairs = patterns.where("size(items) = 2").select("items", mining.key().alias("k"))
     return table(pairs.select(F.col("k").alias("qid"), F.explode("items").alias("term"), F.lit(1.0).alias("qw")))
 
 
@@ -53,7 +51,7 @@ SQL_DOCS = f"""docs AS (SELECT doc_id, {tok()} AS t FROM documents),
 n AS (SELECT count(*) AS n FROM documents),
 post AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM docs) GROUP BY ALL),
 idf AS (SELECT term, count(*) AS df, ln((n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM post, n GROUP BY term, n)"""
-SQL_TOPICS = f"""qt AS (SELECT qid, term, count(*)::DOUBLE AS qw FROM (SELECT item_id AS qid, unnest({tok()}[1:{QUERY_WORDS}]) AS term FROM benchmark) GROUP BY ALL)"""
+SQL_TOPICS = f"""qt AS (SELECT qid, term, count(*)::DOUBLE AS qw FROM (SELECT item_id AS qid, unnest({tok()}) AS term FROM benchmark) GROUP BY ALL)"""
 
 
 def sql_mined(rows: str = "SELECT DISTINCT l_orderkey AS o, l_partkey::VARCHAR AS i FROM lineitem", support: int | str = SUPPORT, name: str = "mined", longest: int = 99) -> str:
@@ -64,7 +62,7 @@ def sql_mined(rows: str = "SELECT DISTINCT l_orderkey AS o, l_partkey::VARCHAR A
 {name} AS (SELECT items, count(*) AS support FROM {name}_s GROUP BY items HAVING count(*) >= {support})"""
 
 
-SQL_PAIRS = """pq AS (SELECT array_to_string(items, ' ') AS qid, items FROM mined WHERE len(items) = 2 ORDER BY support DESC, array_to_string(items, ' ') DESC LIMIT 20),
+SQL_PAIRS = """pq AS (SELECT array_to_string(items, ' ') AS qid, items FROM mined WHERE len(items) = 2),
 pt AS (SELECT qid, unnest(items) AS term, 1.0::DOUBLE AS qw FROM pq)"""
 SQL_RELATED = f"""WITH RECURSIVE {sql_mined()}, {SQL_PAIRS},
 sets AS (SELECT array_to_string(items, ' ') AS items, items AS parts, support FROM mined),

@@ -10,7 +10,9 @@ from termloom.plans.common import SQL_DOCS, SQL_RELATED, SQL_TOPICS, load, mined
 from termloom.sources.shared import table
 
 BS, K1S = [0.0, 0.3, 0.75], [0.0, 0.6, 1.2, 2.0]
-CUT_ID, TOP = 500, 100
+TOP = 100
+#: A topic is asked a day later for each item id, a document written an hour later for each document id.
+HOURS = 24
 
 
 def posting_table(spark, sf):
@@ -31,7 +33,7 @@ def _ready(spark, sf, padding=()):
 
 def _bm25(spark, sf, mode="or", padding=(), **options):
     terms, rows, idf = _ready(spark, sf, padding)
-    return search.top(search.bm25(search.matches(rows, terms, mode), idf, powerset=mode == "powerset", **options), TOP)
+    return search.top(search.bm25(search.matches(rows, terms, mode), idf, powerset=terms if mode == "powerset" else None, **options), TOP)
 
 
 def bm25_or(spark, sf):
@@ -60,10 +62,10 @@ def bm25_grid(spark, sf):
 
 
 def search_time_cut(spark, sf):
-    """Matches up to a time (here an id) that don't hold an excluded term."""
+    """Matches written up to the time of the topic that don't hold an excluded term."""
     terms = topic_terms(spark, sf)
     rows = posted(spark, sf, table(terms.select("term").unionByName(spark.createDataFrame([("with",)], "term string"))))
-    return search.matches(rows.where(F.col("doc_id") <= CUT_ID), terms, absent="with").select("qid", "doc_id", "term", "tf")
+    return search.matches(rows, terms, absent="with").where(F.col("doc_id") <= F.col("qid") * HOURS).select("qid", "doc_id", "term", "tf")
 
 
 def fuzzy_terms(spark, sf):
@@ -273,11 +275,11 @@ ORACLES = {
     "idf_table": f"WITH {SQL_DOCS} SELECT term, df, round(idf, 6) AS idf, round(ln(n / df), 6) AS idf_plain FROM idf, n",
     "bm25_or": f"{_S} {_best(_plain)}",
     "bm25_and": f"{_S}, need AS (SELECT qid, count(*) AS need FROM qt GROUP BY qid) {_best('SELECT qid, doc_id, round(sum(qw * idf), 6) AS score FROM m JOIN need USING (qid) GROUP BY qid, doc_id, need HAVING count(*) = need')}",
-    "bm25_powerset": f"{_S} {_best('SELECT qid, doc_id, round(sum(qw * idf) * pow(2.0, count(*) - 1), 6) AS score FROM m GROUP BY ALL')}",
+    "bm25_powerset": f"{_S}, need AS (SELECT qid, count(*)::DOUBLE AS need FROM qt GROUP BY qid) {_best('SELECT qid, doc_id, round(sum(qw * idf) * (pow(2.0, count(*)) - 1) / (pow(2.0, need) - 1), 6) AS score FROM m JOIN need USING (qid) GROUP BY qid, doc_id, need')}",
     "bm25_lengths": f"{_S} {_best(_long)}",
     "bm25_padded": f"{_S.replace('m AS (', 'qp AS (SELECT * FROM qt UNION ALL SELECT qid, w, 1.0 FROM (SELECT DISTINCT qid FROM qt), (VALUES ($$the$$), ($$of$$)) v(w) WHERE (qid, w) NOT IN (SELECT (qid, term) FROM qt)), m AS (', 1).replace('JOIN qt USING', 'JOIN qp USING')} {_best(_plain)}",
     "bm25_grid": f"{_S}, s AS (SELECT b, k1, qid, doc_id, round(sum(qw * {_wt('b')} * idf / (k1 + {_wt('b')})), 6) AS score FROM m, unnest({BS}::DOUBLE[]) AS bb(b), unnest({K1S}::DOUBLE[]) AS kk(k1) GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY b, k1, qid ORDER BY score DESC, doc_id DESC)::INT AS rank FROM s) WHERE rank <= 10",
-    "search_time_cut": f"{_S} SELECT qid, doc_id, term, tf FROM m WHERE doc_id <= {CUT_ID} AND doc_id NOT IN (SELECT doc_id FROM post WHERE term = 'with')",
+    "search_time_cut": f"{_S} SELECT qid, doc_id, term, tf FROM m WHERE doc_id <= qid * {HOURS} AND doc_id NOT IN (SELECT doc_id FROM post WHERE term = 'with')",
     "fuzzy_terms": f"WITH {SQL_DOCS}, v AS (SELECT term AS token, round(1 - levenshtein(term, 'tion') / least(length(term), 4), 6) AS similarity FROM idf WHERE starts_with(term, 't') AND abs(length(term) - 4) <= 3) SELECT * FROM v WHERE similarity >= 0.6 ORDER BY similarity DESC, token LIMIT 7",
     "related_itemsets_rrf": f"{SQL_RELATED} SELECT qid, items, support, score, rank::INT AS rank, round(1.0 / (60 + rank), 9) AS fused FROM hits",
     "fused_runs": f"{_R} SELECT qid, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM runs GROUP BY ALL",

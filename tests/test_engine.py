@@ -176,8 +176,13 @@ def test_bm25(spark):
     assert scored(spark, k1=1.2, b=0.75, average=3.0, binary=False)[1] == pytest.approx(idf * (wt / (1.2 + wt) + wt / 2 / (1.2 + wt / 2)), abs=1e-6)
 
 
-def test_subset_boost_of_equal_weights():
-    assert search.subset_boost([1.0, 1.0]) == pytest.approx(2.0) and search.subset_boost([]) == 0.0
+def test_powerset_boost(spark):
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    terms = search.query_terms(spark.createDataFrame([(1, "red fish")], "q long, t string"), "q", "t")
+    posted = search.postings(docs)
+    met, idf = search.matches(posted, terms, "powerset"), search.idf_table(posted, 4)
+    plain, boosted = ({r["doc_id"]: r["score"] for r in search.bm25(met, idf, powerset=p, k1=1.0).collect()} for p in (None, terms))
+    assert boosted == {d: pytest.approx(s * (1 if d == 1 else 1 / 3), abs=1e-6) for d, s in plain.items()}
 
 
 def test_fusion(spark):
