@@ -90,26 +90,41 @@ def common(a: list, b: list, table_bits: int = TABLE_BITS) -> list[int]:
     return [*range(head), *(head + i for i in held), *range(len(a) - tail, len(a))]
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = (pa.list_(pa.string()), pa.list_(pa.int64()))
+def _marks(lines: list[str]) -> list[int]:
+    return [xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x in lines]
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in (x.slice(at, 128) for x in batches for at in range(0, x.num_rows, 128)):
-        lines = [None if t is None else text_lines(t) for t in b.column(3).to_pylist()]
-        signs = [np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in own or ()], np.uint64).view(np.int64) for own in lines]
-        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(lines, kinds[0]), pa.array(signs, kinds[1])], names=["row", "page_id", "url", "lines", "signs"])
+        signs = [_marks(text_lines(t)) for t in b.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(signs, pa.list_(pa.int64()))], names=["row", "page_id", "url", "signs"])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of each page, compressed for their way to the lines of the page that they are aligned with."""
+    codec = pa.Codec("zstd", 3)
+    for b in (x.slice(at, 128) for x in batches for at in range(0, x.num_rows, 128)):
+        raw = [None if t is None else "\n".join(text_lines(t)).encode("utf-8", "surrogatepass") for t in b.column(3).to_pylist()]
+        packed = [None if r is None else codec.compress(r, asbytes=True) for r in raw]
+        sizes = pa.array([None if r is None else len(r) for r in raw], pa.int64())
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], sizes, pa.array(packed, pa.binary())], names=["row", "page_id", "url", "size", "packed"])
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    codec = pa.Codec("zstd", 3)
     for b in (x.slice(at, 128) for x in batches for at in range(0, x.num_rows, 128)):
-        shared, texts = [], []
-        for lines, own, other in zip(*(b.column(i).to_pylist() for i in (3, 4, 5))):
-            gone = common(own, other) if own and other else []
-            if lines and len(gone) == len(lines):  # a copy of the other page: nothing tells its template from its text
+        count, shared, texts = [], [], []
+        for size, packed, other in zip(*(b.column(i).to_pylist() for i in (3, 4, 5))):
+            text = codec.decompress(packed, size, asbytes=True).decode("utf-8", "surrogatepass") if size else ""
+            lines = text.split("\n") if text else []
+            gone = common(_marks(lines), other) if lines and other else []
+            if len(gone) == len(lines):  # a copy of the other page: nothing tells its template from its text
                 gone = []
-            shared.append(len(gone))
             held = set(gone)
-            texts.append(None if lines is None else "\n".join(x for i, x in enumerate(lines) if i not in held))
-        count = [len(x) if x is not None else 0 for x in b.column(3).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(count, pa.int32()), pa.array(shared, pa.int32()), pa.array(texts, pa.string())], names=["page_id", "url", "nearest_id", "n_lines", "n_shared", "text"])
+            count.append(len(lines))
+            shared.append(len(gone))
+            texts.append(None if size is None else "\n".join(x for i, x in enumerate(lines) if i not in held))
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(count, pa.int32()), pa.array(shared, pa.int32()), pa.array(texts, pa.string())], names=["page_id", "url", "nearest_id", "n_lines", "n_shared", "text"])
 
 
 def _host(url: Column) -> Column:
@@ -163,10 +178,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     url = quoted(url_col).cast("string")
     rows = pages.select(F.xxhash64(quoted(id_col), url, quoted(html_col).cast("string")).alias("row"), quoted(id_col).alias("page_id"), url.alias("url"), quoted(html_col).cast("string").alias("html"))
     kind = pages.schema[id_col].dataType.simpleString()
-    lines = stored(rows.mapInArrow(_lines, f"row long, page_id {kind}, url string, lines array<string>, signs array<long>"))
+    lines = stored(rows.mapInArrow(_signed, f"row long, page_id {kind}, url string, signs array<long>"))
     placed = lines.select("row", "page_id", "url", _host(F.col("url")).alias("host"), _path(F.col("url")).alias("path"))
     pairs = nearest(placed.where("host <> ''").select("row", "host", "path"))
     own = placed.join(pairs, ["host", "path"]).select("row", "nearest").distinct()
     others = lines.select(F.col("row").alias("nearest"), F.col("page_id").alias("nearest_id"), F.col("signs").alias("other")).dropDuplicates(["nearest"])
     met = stored(own.join(others, "nearest").drop("nearest"))
-    return lines.join(met, "row", "left").select("page_id", "url", "nearest_id", "lines", "signs", "other").mapInArrow(_keep, f"page_id {kind}, url string, nearest_id {kind}, n_lines int, n_shared int, text string")
+    packed = rows.mapInArrow(_packed, f"row long, page_id {kind}, url string, size long, packed binary")
+    return packed.join(met, "row", "left").select("page_id", "url", "nearest_id", "size", "packed", "other").mapInArrow(_keep, f"page_id {kind}, url string, nearest_id {kind}, n_lines int, n_shared int, text string")
