@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions.text import tokens
 from termloom.operators import graph, mining
-from termloom.operators.counts import doc_freq
+from termloom.operators.counts import doc_freq, prune_flist
 from termloom.plans.common import SUPPORT, events, load, mined, part_baskets, sql_mined, tok
 from termloom.sources.shared import sized, table
 
@@ -56,14 +56,14 @@ def event_type_itemsets(spark, sf):
 
 
 def text_itemsets_pruned(spark, sf):
-    """Sets of tokens that 4 to 8 % of the lines hold, in at least 0.5 % of them; a line is a message."""
+    """Sets of tokens that at least 0.5 % of the lines hold; a line is a message."""
     lines = load(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     lines = table(lines.select(F.struct("doc_id", "at").alias("line"), F.array_distinct(tokens(F.col("line"))).alias("t")))
-    n = lines.count()
+    least = max(1, -(-lines.count() // 200))
     each = lines.select("line", F.explode("t").alias("i"))
-    often = table(each.groupBy("i").count().where((F.col("count") >= 0.04 * n) & (F.col("count") < 0.08 * n)).select("i"))
+    often = table(prune_flist(each.groupBy("i").agg(F.count("*").alias("freq")), least, 100, "i").select("i"))
     kept = each.join(sized(often), "i", "left_semi")
-    return named(mining.frequent(mining.baskets(kept, "line", "i"), max(1, -(-n // 200))))
+    return named(mining.frequent(mining.baskets(kept, "line", "i"), least))
 
 
 def fold_decayed_patterns(spark, sf):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions import text as fn
 from termloom.operators import counts, evaluate, expand, graph, mining, search
+from termloom.plans import mining_queries
 from termloom.sources import files
 from termloom.streaming import windows
 
@@ -58,6 +59,15 @@ def test_itemsets_match_brute_force(spark):
     assert set(maximal) <= set(closed)
 
 
+def test_lines_are_mined_down_to_the_support_and_without_an_upper_limit(spark, tmp_path):
+    r = random.Random(4)
+    lines = ["".join(r.sample("abcdefgh", r.randint(1, 4))) + "z" for _ in range(420)] + ["xy", "xy", "xy", "w"]
+    docs = [(i, "\n".join(" ".join(x) for x in lines[i::9])) for i in range(9)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["items"].replace(" ", ""): r["support"] for r in mining_queries.text_itemsets_pruned(spark, str(tmp_path)).collect()}
+    assert got == brute(lines, 3) and got["z"] == 420 and got["xy"] == 3 and "w" not in got
+
+
 def test_no_transactions(spark):
     assert mining.frequent(transactions(spark, []), 2).count() == 0
     assert mining.frequent(transactions(spark, ["a", "b"]), 2).count() == 0
