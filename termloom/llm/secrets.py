@@ -1,9 +1,11 @@
 """Secret scan with one deterministic automaton for all rules.
 
-Rule regexes over bytes become one NFA, subset construction makes it deterministic and partition refinement
-minimises it into a transition array. A batch of texts is one byte buffer, cut into stripes that advance in
-step: each step is one array lookup for all stripes. Rules have a longest match, so a stripe that starts that
-many bytes early is in the right state when its own bytes begin; the result is that of one pass over the bytes.
+The heads of all rules (what precedes their first counted part, and one piece of that) become one NFA, subset
+construction makes it deterministic and partition refinement minimises it into a transition array. A batch of
+texts is one byte buffer, cut into stripes that advance in step: each step is one array lookup for all stripes.
+Heads have a longest match, so a stripe that starts that many bytes early is in the right state when its own
+bytes begin; the result is that of one pass over the bytes. Where a head ends, the whole rule is matched from
+each place where that head can begin. Heads are short, so matches may begin after any byte.
 """
 
 from __future__ import annotations
@@ -19,10 +21,17 @@ from pyspark.sql import functions as F
 
 from termloom.llm.common import quoted
 
-#: A match is preceded by the start of the text or by a character outside these. So no match starts inside a run
-#: of them, which keeps the joint automaton of counted rules near the sum of their sizes instead of the product.
+#: Guard of rules that a caller brings: their matches follow the start of the text or a character outside these.
 TOKEN = "0-9A-Za-z_+/-"
-#: Name -> regex. Supported: literals, classes, groups, |, ?, {m}, {m,n}; every rule must have a longest match.
+
+
+def _any_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+_KEYWORD = "|".join(map(_any_case, ("password", "passwd", "secret", "token", "api[_-]?key")))
+#: Name -> regex. Supported: literals, classes, groups, |, ?, {m}, {m,n}, {m,}; every head must have a longest match.
+#: These need no guard: a match may follow any byte, as in db_password=, "\\n-----BEGIN" or a path.
 RULES = {
     "aws_access_key": "A(?:KIA|SIA)[0-9A-Z]{16}",
     "github_token": "gh[pousr]_[0-9A-Za-z]{36}",
@@ -31,13 +40,15 @@ RULES = {
     "slack_token": "xox[abprs]-[0-9]{10,13}-[0-9]{10,13}-[0-9A-Za-z]{24}",
     "stripe_key": "[rs]k_live_[0-9A-Za-z]{24}",
     "private_key": "-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----",
-    "assigned_secret": "(?:[Pp]assword|[Pp]asswd|[Ss]ecret|[Tt]oken|[Aa]pi_?[Kk]ey) ?[=:] ?[\"']?[0-9A-Za-z+/_-]{16,48}",
+    "assigned_secret": f"(?:{_KEYWORD}) ?[=:] ?[\"']?[0-9A-Za-z+/_-]{{16,}}(?:\\.[0-9A-Za-z+/_-]{{1,}}){{0,}}={{0,2}}",
 }
+#: The rules as the SQL states them, all behind TOKEN and with values of at most 48 characters.
+SQL_RULES = RULES | {"assigned_secret": "(?:[Pp]assword|[Pp]asswd|[Ss]ecret|[Tt]oken|[Aa]pi_?[Kk]ey) ?[=:] ?[\"']?[0-9A-Za-z+/_-]{16,48}"}
 STRIPE = 2048
 
 
 class _Parser:
-    """Regex -> tree of ("set", bytes), ("cat", [...]), ("alt", [...]), ("rep", tree, low, high)."""
+    """Regex -> tree of ("set", bytes), ("cat", [...]), ("alt", [...]), ("rep", tree, low, high or None)."""
 
     def __init__(self, source: str) -> None:
         self.s, self.i = source, 0
@@ -66,9 +77,9 @@ class _Parser:
             if self.s[self.i] == "?":
                 self.i += 1
                 tree = ("rep", tree, 0, 1)
-            elif m := re.compile(r"\{(\d+)(?:,(\d+))?\}").match(self.s, self.i):
+            elif m := re.compile(r"\{(\d+)(,?)(\d*)\}").match(self.s, self.i):
                 self.i = m.end()
-                tree = ("rep", tree, int(m[1]), int(m[2] or m[1]))
+                tree = ("rep", tree, int(m[1]), int(m[3]) if m[3] else None if m[2] else int(m[1]))
             elif self.s[self.i] in "*+{":
                 raise ValueError(f"{self.s!r} has no longest match")
             else:
@@ -120,10 +131,43 @@ def longest(tree) -> int:
     if kind == "set":
         return 1
     if kind == "rep":
-        return longest(tree[1]) * tree[3]
+        if tree[3] is None and longest(tree[1]):
+            raise ValueError("a rule's head has no longest match")
+        return longest(tree[1]) * (tree[3] or 0)
     return (sum if kind == "cat" else max)((longest(t) for t in tree[1]), **({} if kind == "cat" else {"default": 0}))
 
 
+def shortest(tree) -> int:
+    kind = tree[0]
+    if kind == "set":
+        return 1
+    if kind == "rep":
+        return shortest(tree[1]) * tree[2]
+    return (sum if kind == "cat" else min)((shortest(t) for t in tree[1]), **({} if kind == "cat" else {"default": 0}))
+
+
+def head(tree):
+    """(tree of what every match begins with, up to the first counted part and one piece of that; whether it is all)."""
+    kind = tree[0]
+    if kind == "set":
+        return tree, True
+    if kind == "rep":
+        own, whole = head(tree[1])
+        if tree[3] == 1:
+            return ("rep", own, tree[2], 1), whole
+        return (own if tree[2] else ("cat", [])), False
+    if kind == "alt":
+        parts = [head(t) for t in tree[1]]
+        return ("alt", [t for t, _ in parts]), all(whole for _, whole in parts)
+    parts = []
+    for t in tree[1]:
+        own, whole = head(t)
+        parts.append(own)
+        if not whole:
+            return ("cat", parts), False
+    return ("cat", parts), True
+
+
 def reverse(tree):
     kind = tree[0]
     if kind == "set":
@@ -162,10 +206,15 @@ class _Nfa:
                 self.empty[self.add(part, start)].append(end)
             return end
         end = self.state()
-        for n in range(tree[3]):
+        for n in range(tree[2] if tree[3] is None else tree[3]):
             if n >= tree[2]:
                 self.empty[start].append(end)
             start = self.add(tree[1], start)
+        if tree[3] is None:
+            loop = self.state()
+            self.empty[start].append(loop)
+            self.empty[self.add(tree[1], loop)].append(loop)
+            start = loop
         self.empty[start].append(end)
         return end
 
@@ -180,15 +229,20 @@ class _Nfa:
 
 
 class Automaton:
-    """Minimal deterministic automaton that, after each byte, names the rules with a match ending there."""
+    """Minimal deterministic automaton that, after each byte, names the rules with a head ending there.
 
-    def __init__(self, rules: dict[str, str]) -> None:
+    `guard` is the inside of a character class; a match never follows one of these characters.
+    """
+
+    def __init__(self, rules: dict[str, str], guard: str = TOKEN) -> None:
         self.names = list(rules)
-        edge = ("set", frozenset(range(256)) - _Parser(f"[{TOKEN}]").parse()[1][0][1])
-        if any(longest(_Parser(p).parse()) == 0 for p in rules.values()):
-            raise ValueError("a rule matches nothing but the empty text")
-        trees = [("cat", [edge, _Parser(p).parse()]) for p in rules.values()]
+        self.guard = _Parser(f"[{guard}]").parse()[1][0][1] if guard else frozenset()
+        whole = [_Parser(p).parse() for p in rules.values()]
+        trees = [own if shortest(own := head(t)[0]) else t for t in whole]
         self.reach = max([longest(t) for t in trees], default=0)
+        if any(longest(t) == 0 for t in trees):
+            raise ValueError("a rule matches nothing but the empty text")
+        self.forward = [_Lazy(t) for t in whole]
         self.reversed = [_Lazy(reverse(t)) for t in trees]
         nfa = _Nfa()
         start = nfa.state()
@@ -249,7 +303,7 @@ class Automaton:
             self.rules_of[at] = marks[member[g]]
 
     def ends(self, buf: np.ndarray) -> list[tuple[int, int]]:
-        """(end offset, rule) of every match in buf, in one pass."""
+        """(end offset, rule) of every head in buf, in one pass."""
         if not len(buf) or not self.names:
             return []
         lead, n = self.reach, -(-len(buf) // STRIPE)
@@ -266,21 +320,23 @@ class Automaton:
         return found
 
     def find(self, data: bytes, ends: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-        """(rule, from, to) of the findings in data; overlapping matches of a rule are one finding."""
-        spans: dict[int, list[list[int]]] = {}
-        data = b"\0" + data
-        for end, rule in sorted(ends):
-            start = end + 1 - self.reversed[rule].longest(data[max(0, end + 1 - self.reach) : end + 1][::-1])
-            own = spans.setdefault(rule, [])
-            while own and start < own[-1][1]:
-                start = min(start, own.pop()[0])
-            if start < end:
-                own.append([start, end])
-        return sorted((r, a, b) for r, own in spans.items() for a, b in own)
+        """(rule, from, to) of the findings in data, given its heads; overlapping matches of a rule are one finding."""
+        starts = set()
+        for end, rule in ends:
+            lengths = self.reversed[rule].lengths(data[max(0, end - self.reach) : end][::-1])
+            starts.update((rule, end - n) for n in lengths if n == end or data[end - n - 1] not in self.guard)
+        found: list[tuple[int, int, int]] = []
+        for rule, start in sorted(starts):
+            end = start + max(self.forward[rule].lengths(data, start), default=0)
+            if found and found[-1][0] == rule and start < found[-1][2]:
+                found[-1] = (rule, found[-1][1], max(end, found[-1][2]))
+            elif start < end:
+                found.append((rule, start, end))
+        return found
 
 
 class _Lazy:
-    """Longest match of one tree at the start of a short text, its states made as they are needed."""
+    """Matches of one tree that begin at a given place, its states made as they are needed."""
 
     def __init__(self, tree) -> None:
         self.nfa = _Nfa()
@@ -289,22 +345,22 @@ class _Lazy:
         self.root = self.nfa.closure([start])
         self.memo: dict[tuple[frozenset, int], frozenset] = {}
 
-    def longest(self, data: bytes) -> int:
-        state, best = self.root, 0
-        for i, b in enumerate(data, 1):
+    def lengths(self, data: bytes, at: int = 0) -> Iterator[int]:
+        state = self.root
+        for i in range(at, len(data)):
+            b = data[i]
             if (state, b) not in self.memo:
                 self.memo[state, b] = self.nfa.closure([m[1] for m in (self.nfa.moves[x] for x in state) if m and b in m[0]])
             state = self.memo[state, b]
             if not state:
                 break
             if self.end in state:
-                best = i
-        return best
+                yield i + 1 - at
 
 
 @lru_cache(4)
-def _compiled(rules: tuple[tuple[str, str], ...]) -> Automaton:
-    return Automaton(dict(rules))
+def _compiled(rules: tuple[tuple[str, str], ...], guard: str) -> Automaton:
+    return Automaton(dict(rules), guard)
 
 
 def scan_texts(machine: Automaton, texts: list[str | None]) -> Iterator[tuple[int, str, int, str]]:
@@ -324,10 +380,11 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row for each finding: (doc_id, rule, start, secret), start counting characters from 1.
 
     A finding is a maximal run of overlapping matches of one rule; different rules may find the same place.
+    Matches of RULES begin after any byte, those of other rules after none of TOKEN.
     Null and empty texts have none; very long texts are scanned whole; repeated rows give repeated findings;
     a null id stays null; extra columns are ignored; an empty table or rule set gives no row.
     """
-    machine = docs.sparkSession.sparkContext.broadcast(_compiled(tuple((RULES if rules is None else rules).items())))
+    machine = docs.sparkSession.sparkContext.broadcast(_compiled(tuple((RULES if rules is None else rules).items()), "" if rules is None else TOKEN))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -344,7 +401,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def oracle_sql(table: str = "documents") -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     each = []
-    for name, rule in RULES.items():
+    for name, rule in SQL_RULES.items():
         p = quote(f"(?:^|[^{TOKEN}])({rule})")
         each.append(f"SELECT doc_id, {quote(name)} AS rule, regexp_extract_all(text, {p}) AS whole, regexp_extract_all(text, {p}, 1) AS found, string_split_regex(text, {quote(f'(?:^|[^{TOKEN}])(?:{rule})')}) AS rest FROM {table} WHERE regexp_matches(text, {p})")
     return f"""
