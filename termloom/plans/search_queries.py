@@ -13,6 +13,7 @@ BS, K1S = [0.0, 0.3, 0.75], [0.0, 0.6, 1.2, 2.0]
 TOP = 100
 #: A topic is asked a day later for each item id, a document written an hour later for each document id.
 HOURS = 24
+#: Rows of a topic in a query that ends with its run; runs that are fused, judged or compared have search.RESULTS.
 
 
 def posting_table(spark, sf):
@@ -86,7 +87,7 @@ def related_itemsets_rrf(spark, sf):
 def fused_runs(spark, sf):
     terms, rows, idf = _ready(spark, sf)
     met = table(search.matches(rows, terms))
-    one, two = search.top(search.bm25(met, idf), TOP), search.top(search.bm25(met, idf, 1.2, 0.75, 250.0, False), TOP)
+    one, two = search.top(search.bm25(met, idf)), search.top(search.bm25(met, idf, 1.2, 0.75, 250.0, False))
     return search.fuse(one.unionByName(two))
 
 
@@ -165,8 +166,8 @@ def expanded_run(spark, sf):
 def _runs(spark, sf):
     terms, rows, idf = _ready(spark, sf)
     met = table(search.matches(rows, terms))
-    one = search.top(search.bm25(met, idf), TOP).withColumn("run", F.lit("plain"))
-    two = search.top(search.bm25(met, idf, 1.2, 0.75, 250.0, False), TOP).withColumn("run", F.lit("lengths"))
+    one = search.top(search.bm25(met, idf)).withColumn("run", F.lit("plain"))
+    two = search.top(search.bm25(met, idf, 1.2, 0.75, 250.0, False)).withColumn("run", F.lit("lengths"))
     qrels = terms.select("qid").distinct().crossJoin(load(spark, sf, "labels").select("doc_id", F.col("quality").alias("rel")))
     return table(one.unionByName(two)), qrels
 

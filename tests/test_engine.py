@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions import text as fn
 from termloom.operators import counts, evaluate, expand, graph, mining, search
-from termloom.plans import mining_queries
+from termloom.plans import mining_queries, search_queries
 from termloom.sources import files
 from termloom.streaming import windows
 
@@ -276,6 +276,30 @@ def test_metrics_of_four_ranks(spark):
     assert [r["doc_id"] for r in evaluate.unjudged(run, qrels).collect()] == [3]
 
 
+@pytest.fixture(scope="module")
+def long_runs(spark, tmp_path_factory):
+    """1100 documents of one topic, every third judged as relevant, and topics that grow with time."""
+    to = tmp_path_factory.mktemp("runs")
+    docs = [(i, "alpha " * (1 + i % 7) + f"w{i}" + " pad" * (i % 90)) for i in range(1, 1101)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(to / "documents.parquet"))
+    spark.createDataFrame([(1, "pad"), (3, "alpha"), (4, "alpha")], "item_id long, text string").write.parquet(str(to / "benchmark.parquet"))
+    spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(1, 1101)], "doc_id long, quality int").write.parquet(str(to / "labels.parquet"))
+    return str(to)
+
+
+def test_runs_that_are_judged_or_fused_have_a_thousand_ranks(spark, long_runs):
+    judged = pd.DataFrame(search_queries.append_judgement(spark, long_runs).where("qid = 4").collect(), columns=["run", "qid", "doc_id", "rank", "judgement"])
+    assert judged.groupby("run")["rank"].agg(["count", "max"]).values.tolist() == [[1000, 1000]] * 2
+    ap = {}
+    for run, own in judged.sort_values("rank").groupby("run"):
+        rel = (own["judgement"] == "R").to_numpy()
+        ap[run] = ((rel * rel.cumsum() / np.arange(1, 1001)).sum() / 366, rel[:366].sum() / 366)
+    got = {r["run"]: (r["ap"], r["r_prec"]) for r in search_queries.run_metrics(spark, long_runs).where("qid = 4").collect()}
+    assert got.keys() == ap.keys() and all(got[k] == pytest.approx(ap[k], abs=2e-6) for k in ap)
+    assert search_queries.fused_runs(spark, long_runs).where("qid = 4").count() == judged["doc_id"].nunique()
+    assert search_queries.rank_diff(spark, long_runs).where("qid = 4 and difference = 'inf'").count() == 1000 - judged.groupby("doc_id").size().eq(2).sum()
+
+
 def test_rank_difference(spark):
     schema = "qid int, doc_id int, rank int"
     got = evaluate.rank_difference(spark.createDataFrame([(1, 7, 1), (1, 8, 2)], schema), spark.createDataFrame([(1, 7, 5), (1, 9, 1)], schema))
