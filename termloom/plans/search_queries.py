@@ -11,7 +11,7 @@ from termloom.sources.shared import table
 
 BS, K1S = [0.0, 0.3, 0.75], [0.0, 0.6, 1.2, 2.0]
 TOP = 100
-#: A topic is asked a day later for each item id, a document written an hour later for each document id.
+#: Of the SQL alone, in which a topic is asked a day later for each item id, a document written an hour later for each document id.
 HOURS = 24
 #: Rows of a topic in a query that ends with its run; runs that are fused, judged or compared have search.RESULTS.
 
@@ -63,10 +63,15 @@ def bm25_grid(spark, sf):
 
 
 def search_time_cut(spark, sf):
-    """Matches written up to the time of the topic that don't hold an excluded term."""
+    """Matches written up to the time of the topic that don't hold an excluded term.
+
+    Neither table has times: documents are written in the order of their ids over a period, topics asked over the same.
+    """
     terms = topic_terms(spark, sf)
     rows = posted(spark, sf, table(terms.select("term").unionByName(spark.createDataFrame([("with",)], "term string"))))
-    return search.matches(rows, terms, absent="with").where(F.col("doc_id") <= F.col("qid") * HOURS).select("qid", "doc_id", "term", "tf")
+    ends = load(spark, sf, "documents").agg(F.max("doc_id").alias("last_doc")).crossJoin(load(spark, sf, "benchmark").agg(F.max("item_id").alias("last_topic")))
+    written_before = F.col("doc_id").cast("decimal(19,0)") * F.col("last_topic") <= F.col("qid").cast("decimal(19,0)") * F.col("last_doc")
+    return search.matches(rows, terms, absent="with").crossJoin(F.broadcast(ends)).where(written_before).select("qid", "doc_id", "term", "tf")
 
 
 def fuzzy_terms(spark, sf):

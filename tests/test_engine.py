@@ -300,6 +300,11 @@ def test_runs_that_are_judged_or_fused_have_a_thousand_ranks(spark, long_runs):
     assert search_queries.rank_diff(spark, long_runs).where("qid = 4 and difference = 'inf'").count() == 1000 - judged.groupby("doc_id").size().eq(2).sum()
 
 
+def test_time_cut_spans_all_documents(spark, long_runs):
+    got = pd.DataFrame(search_queries.search_time_cut(spark, long_runs).where("term = 'alpha'").collect(), columns=["qid", "doc_id", "term", "tf"])
+    assert {q: sorted(own["doc_id"]) for q, own in got.groupby("qid")} == {3: list(range(1, 826)), 4: list(range(1, 1101))}
+
+
 def test_rank_difference(spark):
     schema = "qid int, doc_id int, rank int"
     got = evaluate.rank_difference(spark.createDataFrame([(1, 7, 1), (1, 8, 2)], schema), spark.createDataFrame([(1, 7, 5), (1, 9, 1)], schema))
