@@ -140,19 +140,17 @@ def fold(new: DataFrame, old: DataFrame, age_windows: int = 1) -> DataFrame:
 
 
 def sliced(transactions: DataFrame, order: str, per_slice: int, min_support: int, min_df: int = 1, max_share: float = 1.0) -> DataFrame:
-    """(slice, items, support) of sets of up to three items in each slice of consecutive transactions, mined apart.
+    """(slice, items, support) of the itemsets of each slice of consecutive transactions, mined apart. Stored.
 
-    Slices are keyed by id range, and counted in one pass over all of them; items outside the limits are left out.
+    Slices are keyed by id range; items outside the limits are left out. One run mines all of them, as items that
+    carry their slice never meet those of another.
     """
     rows = transactions.select(F.floor(F.col(order) / per_slice).cast("long").alias("slice"), order, F.explode(F.array_distinct("items")).alias("i"))
     sizes = transactions.groupBy(F.floor(F.col(order) / per_slice).cast("long").alias("slice")).agg(F.count("*").alias("n"))
     often = rows.groupBy("slice", "i").agg(F.count("*").alias("c")).join(sizes, "slice").where((F.col("c") >= max(min_df, min_support)) & (F.col("c") <= F.col("n") * max_share)).select("slice", "i")
     kept = rows.join(often, ["slice", "i"], "left_semi").groupBy("slice", order).agg(F.sort_array(F.collect_list("i")).alias("t"))
-    up_to = lambda more: F.flatten(F.transform("t", more))
-    later = lambda x: F.filter("t", lambda y: y > x)
-    sets = F.concat(
-        F.transform("t", lambda x: F.array(x)),
-        up_to(lambda x: F.transform(later(x), lambda y: F.array(x, y))),
-        up_to(lambda x: F.flatten(F.transform(later(x), lambda y: F.transform(later(y), lambda z: F.array(x, y, z))))),
-    )
-    return kept.select("slice", F.explode(sets).alias("items")).groupBy("slice", "items").agg(F.count("*").alias("support")).where(F.col("support") >= min_support)
+    own = kept.select(F.transform("t", lambda x: F.concat(F.col("slice").cast("string"), F.lit(":"), x)).alias("items"))
+    found = frequent(own, min_support)
+    slice_of = F.substring_index(F.element_at("items", 1), ":", 1)
+    plain = F.transform("items", lambda x: F.substr(x, F.length(slice_of) + 2))
+    return found.select(slice_of.cast("long").alias("slice"), plain.alias("items"), "support")

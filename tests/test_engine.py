@@ -68,6 +68,17 @@ def test_lines_are_mined_down_to_the_support_and_without_an_upper_limit(spark, t
     assert got == brute(lines, 3) and got["z"] == 420 and got["xy"] == 3 and "w" not in got
 
 
+def test_slices_are_mined_without_a_longest_set(spark):
+    r = random.Random(6)
+    sets = ["".join(r.sample("abcdefg", r.randint(3, 7))) for _ in range(60)] + ["a", "b"]
+    rows = transactions(spark, sets).withColumn("items", F.transform("items", lambda x: F.concat(x, F.lit(":"))))
+    got = {}
+    for x in mining.sliced(rows, "id", 20, 4).collect():
+        got.setdefault(x["slice"], {})["".join(x["items"]).replace(":", "")] = x["support"]
+    assert got == {n: brute(sets[20 * n : 20 * n + 20], 4) for n in range(3)}
+    assert max(map(len, got[0])) > 3 and mining.sliced(rows.limit(0), "id", 20, 4).count() == 0
+
+
 def test_no_transactions(spark):
     assert mining.frequent(transactions(spark, []), 2).count() == 0
     assert mining.frequent(transactions(spark, ["a", "b"]), 2).count() == 0
