@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from termloom.llm.common import quoted, shared_dir, stored
 
 MAGIC = b"WARC/1.0\r\n"
-#: Bytes of a chunk, and the most that a record's header may have.
+#: Bytes of a chunk, and those read beyond it at once for headers that pass its end.
 CHUNK, HEADER = 8 << 20, 1 << 16
 LENGTH = re.compile(rb"(?mi)^content-length:[ \t]*(\d+)[ \t]*\r?$")
 
@@ -63,13 +63,6 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     rows.mapInArrow(run, "bytes long").agg(F.sum("bytes")).collect()
 
 
-def _candidate(buf: bytes, at: int) -> tuple[int, int] | None:
-    """(start of the payload, its length) of the record that seems to begin at buf[at], None if its header is bad."""
-    end = buf.find(b"\r\n\r\n", at, at + HEADER)
-    found = LENGTH.search(buf, at, end + 2) if end >= 0 else None
-    return (end + 4, int(found[1])) if found else None
-
-
 def _read(uri: str, start: int, size: int) -> bytes:
     fs, path = pyarrow.fs.FileSystem.from_uri(uri)
     with fs.open_input_file(path) as f:
@@ -77,16 +70,68 @@ def _read(uri: str, start: int, size: int) -> bytes:
         return f.read(size)
 
 
+class _Heads:
+    """Headers of the records that seem to begin in one piece of a file, which is read on where a header passes its end.
+
+    Headers are asked for in ascending order; what lies between two places is searched once.
+    """
+
+    #: More bytes than a Content-Length line has.
+    LINE = 256
+
+    def __init__(self, uri: str, base: int, size: int) -> None:
+        self.uri, self.base, self.buf = uri, base, _read(uri, base, size)
+        self.blank, self.length, self.ended = -1, None, False
+
+    def at(self, at: int) -> tuple[int, int] | None:
+        """(start of the payload, its length) of the record that seems to begin at byte `at` of the piece, None if its header is bad."""
+        if self.blank < at:
+            self.blank, self.length = self.buf.find(b"\r\n\r\n", at), None
+            if self.blank < 0:
+                self._beyond(at)
+            else:
+                self._length(at)
+        elif self.length and self.length[0] < at:
+            self._length(at)
+        return (self.blank + 4, self.length[1]) if self.length and not self.ended else None
+
+    def _length(self, at: int) -> None:
+        found = LENGTH.search(self.buf, at, self.blank + 2)
+        self.length = (found.start(), int(found[1])) if found else None
+        if not found and self.blank >= len(self.buf) - 3:
+            self._beyond(at)
+
+    def _beyond(self, at: int) -> None:
+        """Reads on until the blank line, holding one part at a time; self.ended if there is none."""
+        self.length = None
+        start, part = at, self.buf[at:]
+        while True:
+            end = part.find(b"\r\n\r\n")
+            found = None if self.length else LENGTH.search(part, start > at, len(part) if end < 0 else end + 2)
+            if found and (end >= 0 or found.end() < len(part) - 1):
+                self.length = (start + found.start(), int(found[1]))
+            if end >= 0:
+                self.blank = start + end
+                return
+            more = _read(self.uri, self.base + start + len(part), 16 * HEADER)
+            if not more:
+                self.blank, self.ended = 1 << 62, True
+                return
+            kept = part[-self.LINE :]
+            start, part = start + len(part) - len(kept), kept + more
+
+
 def _scan(chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for uri, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 base = n * chunk
-                buf = _read(uri, base, chunk + HEADER)
+                heads = _Heads(uri, base, chunk + HEADER)
+                buf = heads.buf
                 offsets, leaves = [], {}
                 at = buf.find(MAGIC)
                 while 0 <= at < chunk:
-                    if found := _candidate(buf, at):
+                    if found := heads.at(at):
                         offsets.append((base + at, base + found[0] + found[1] + 4))
                     at = buf.find(MAGIC, at + 1)
                 for start, after in reversed(offsets):  # the place outside this chunk to which a candidate leads
@@ -123,9 +168,10 @@ def _parse(chunk: int):
         for b in batches:
             for uri, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 stop = (at // chunk + 1) * chunk
-                base, buf = at, _read(uri, at, stop - at + HEADER)
+                base, heads = at, _Heads(uri, at, stop - at + HEADER)
+                buf = heads.buf
                 rows = []
-                while at < stop and buf.startswith(MAGIC, at - base) and (found := _candidate(buf, at - base)):
+                while at < stop and buf.startswith(MAGIC, at - base) and (found := heads.at(at - base)):
                     start, size = found
                     if start + size > len(buf):
                         payload = _read(uri, base + start, size)
@@ -133,7 +179,8 @@ def _parse(chunk: int):
                         payload = buf[start : start + size]
                     if len(payload) < size:
                         break
-                    head = dict(re.findall(r"(?m)^([\w-]+):[ \t]*(.*?)\r?$", buf[at - base : start].decode("utf-8", "surrogatepass")))
+                    plain = buf[at - base : start] if start <= len(buf) else _read(uri, at, start - (at - base))
+                    head = dict(re.findall(r"(?m)^([\w-]+):[ \t]*(.*?)\r?$", plain.decode("utf-8", "surrogatepass")))
                     own = re.fullmatch(r"<urn:page:(-?\d+)>", head.get("WARC-Record-ID", ""))
                     url = head.get("WARC-Target-URI")
                     url = url and re.sub("%(0D|0A|25)", lambda m: chr(int(m[1], 16)), url)
@@ -161,7 +208,7 @@ def read_warc(spark: SparkSession, folder: str, chunk: int = CHUNK) -> DataFrame
 
     Only records on the chain from a file's start are returned. A damaged header or a wrong length ends the
     chain: what follows in that file is left out. A last record that is cut short is left out too. Payloads of
-    any length and repeated records are read; without a page id or url these are null; so is the html of a
+    any length, headers of any length and repeated records are read; without a page id or url these are null; so is the html of a
     record marked as truncated. An empty folder or file gives no record.
     """
     start = entries(spark, folder, chunk)

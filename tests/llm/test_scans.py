@@ -130,6 +130,18 @@ def test_warc_round_trip_with_magic_in_payloads(spark):
         assert rows_of(out) == sorted(((*x, len((x[2] or "").encode())) for x in rows), key=repr)
 
 
+def test_warc_long_headers(spark, tmp_path):
+    r = random.Random(7)
+    fake = "WARC/1.0\r\nContent-Length: 12\r\nno blank line\r\n"
+    rows = [(i, "http://h/" + "u" * n, fake * r.randint(0, 3) + "x" * r.randint(0, 300)) for i, n in enumerate((5, 65_400, 70_000, 300_000, 9, 131_072, 1))]
+    pages = spark.createDataFrame(rows, PAGES).coalesce(1)
+    assert rows_of(warc.round_trip(pages, 100_000)) == sorted(((*x, len(x[2])) for x in rows), key=repr)
+    record = warc._record(1, "u" * 65_000, "text")
+    (tmp_path / "a.warc").write_bytes(record)
+    for cut in range(64_900, len(record)):  # every place in the header's end where the piece that is read can end
+        assert warc._Heads((tmp_path / "a.warc").as_uri(), 0, cut).at(0) == (len(record) - 8, 4), cut
+
+
 def test_warc_broken_files(spark, tmp_path):
     good = [warc._record(i, f"u{i}", "text " * i) for i in range(6)]
     (tmp_path / "a.warc").write_bytes(b"".join(good)[:-9])
