@@ -187,13 +187,14 @@ def components(edges: DataFrame) -> DataFrame:
     return leaves.unionByName(leaves.select(F.col("root").alias("id"), "root")).distinct()
 
 
-def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, threshold: float = THRESHOLD, target: int = TARGET) -> tuple[DataFrame, DataFrame]:
+def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, threshold: float = THRESHOLD, target: int = TARGET, every: bool = False) -> tuple[DataFrame, DataFrame]:
     """Verified pairs (a, b, jaccard) that span every near-duplicate group, and (id, root) of the groups.
 
     Documents of equal feature sets are one node, named by their smallest id. In each signature bucket every
     node is first compared with the bucket's smallest, so a bucket of thousands of copies costs thousands of
     comparisons. Whatever these leave apart is then compared pair by pair, without a cap, between members of
     different groups: pairs inside one group can't change the groups. Of large sets two buckets must agree.
+    With `every`, pairs inside one group are compared in the same way, so that all similar pairs of nodes are there.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("id is not null and t is not null")
     signed = rows.mapInArrow(_sign(n, threshold, target), "id long, sig long")
@@ -226,9 +227,23 @@ def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = met.join(few, "a").where("few or count > 1").select("a", "b")
     second = verified(rest)
     pairs = first.unionByName(second)
+    if every:
+        left, right = (buckets.select("sig", F.col("node").alias(c)) for c in "ab")
+        within = left.join(right, "sig").where("a < b").groupBy("a", "b").count().join(few, "a").where("few or count > 1")
+        known = stars.unionByName(rest)
+        pairs = pairs.unionByName(verified(within.select("a", "b").join(known, ["a", "b"], "left_anti")))
     return pairs.unionByName(copies.withColumn("jaccard", F.lit(1.0))), stored(components(pairs.select("a", "b").unionByName(copies)))
 
 
+def similar_pairs(docs: DataFrame, **options) -> DataFrame:
+    """(a, b, jaccard), a < b: the verified pairs of documents at or above the threshold.
+
+    Documents of equal feature sets are one node, named by its smallest id: a copy has one row (node, copy, 1.0) and
+    shares the pairs of its node, so n copies take n rows. Null ids, null texts and texts without words are in no pair.
+    """
+    return near_pairs(docs, every=True, **options)[0]
+
+
 def near_groups(docs: DataFrame, **options) -> DataFrame:
     """One row for each near-duplicate group: (keep_id, doc_ids sorted, n_docs).
 

@@ -120,6 +120,21 @@ def test_near_groups_match_brute_force(spark, seed):
     assert len(pair(got)) >= 0.9 * len(pair(want))
 
 
+def test_all_similar_pairs_within_groups(spark):
+    base = [f"w{i}" for i in range(41)]
+    texts = [" ".join([*base[:n], f"x{n}", *base[n + 1 :]]) for n in range(5, 25)]  # each like each other, none alike
+    texts += [texts[0], texts[3]] + [" ".join(base[i : i + 40]) + f" y{i} y y" for i in range(2)]
+    rows = make(texts)
+    got = {(x["a"], x["b"]): x["jaccard"] for x in jaccard.similar_pairs(table(spark, rows)).collect()}
+    node = {}
+    name = {r[0]: node.setdefault(r[1], r[0]) for r in rows}
+    want = {(a, b) if name[a] == a and name[b] == b else (name[a], b) for a, b in similar_pairs(rows) if name[a] == name[b] or (name[a] == a and name[b] == b)}
+    held = {r[0]: features(r[1]) for r in rows}
+    assert set(got) <= want and len(got) > 0.9 * len(want) and len(want) > 150
+    assert all(s == pytest.approx(len(held[a] & held[b]) / len(held[a] | held[b])) for (a, b), s in got.items())
+    assert got[1, 21] == got[4, 22] == 1.0
+
+
 def test_near_groups_of_the_test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [tuple(r) for r in docs.select(*SCHEMA_NAMES).collect()]
