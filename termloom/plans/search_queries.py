@@ -9,11 +9,14 @@ from termloom.operators.counts import doc_freq
 from termloom.plans.common import SQL_DOCS, SQL_RELATED, SQL_TOPICS, load, mined, pair_terms, posted, topic_terms
 from termloom.sources.shared import table
 
+#: The grid's values, and those of its SQL.
+GRID_BS = [0.0, 0.03, 0.07, 0.12, 1.0, 0.5, 0.3, 0.7, 0.2, 0.6, 0.1, 0.8, 0.9]
+GRID_K1S = [0.0, 0.66, 0.77, 0.9, 1.0, 1.1, 1.3, 1.5, 1000.0, 0.25, 0.05, 1.2, 2.0, 7.0, 33.0, 99.0]
 BS, K1S = [0.0, 0.3, 0.75], [0.0, 0.6, 1.2, 2.0]
+#: Rows of a topic in a query that ends with its run; runs that are fused, judged or compared have search.RESULTS.
 TOP = 100
 #: Of the SQL alone, in which a topic is asked a day later for each item id, a document written an hour later for each document id.
 HOURS = 24
-#: Rows of a topic in a query that ends with its run; runs that are fused, judged or compared have search.RESULTS.
 
 
 def posting_table(spark, sf):
@@ -59,7 +62,7 @@ def bm25_padded(spark, sf):
 
 def bm25_grid(spark, sf):
     terms, rows, idf = _ready(spark, sf)
-    return search.top(search.bm25_grid(search.matches(rows, terms), idf, BS, K1S, 250.0), 10, ("b", "k1", "qid"))
+    return search.top(search.bm25_grid(search.matches(rows, terms), idf, GRID_BS, GRID_K1S, 250.0), 10, ("b", "k1", "qid"))
 
 
 def search_time_cut(spark, sf):
