@@ -8,29 +8,62 @@ import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Rows of (key, number) that are sent to every executor in a join; larger sides are shuffled.
 BROADCAST_ROWS = 1_000_000
+_OWN: set[str] = set()
 
 
-def shared_path(spark: SparkSession) -> str:
-    """A fresh path under spark.checkpoint.dir; only where that is unset (one machine, tests) under a temporary folder."""
+def _forget(root: str) -> None:
+    """Deletes the folder of this application; a scheme that pyarrow doesn't know is left to the cluster's own cleaning."""
+    try:
+        fs, path = pyarrow.fs.FileSystem.from_uri(root)
+        fs.delete_dir(path)
+    except (OSError, pyarrow.ArrowException):
+        pass
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset on one machine.
+
+    Off local masters an unset folder is an error: a machine-local one would lose what the other machines write.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = Path(tempfile.mkdtemp(prefix="termloom-")).as_uri()
         atexit.register(shutil.rmtree, root.removeprefix("file://"), ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/termloom/{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def shared_path(spark: SparkSession) -> str:
+    """A fresh path in the shared folder, under one folder for each application, which is deleted when its driver ends."""
+    own = f"{shared_root(spark)}/termloom/{spark.sparkContext.applicationId}"
+    if own not in _OWN:
+        _OWN.add(own)
+        atexit.register(_forget, own)
+    return f"{own}/{uuid.uuid4().hex}"
 
 
 def table(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back: its lineage ends there."""
     path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    held = df.sparkSession.read.schema(df.schema).parquet(path)
+    held._at = path
+    return held
+
+
+def drop_table(held: DataFrame) -> None:
+    """Deletes a table() that nothing reads any more, such as the last round of an iteration."""
+    _forget(held._at)
 
 
 def sized(side: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
