@@ -2,41 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import shutil
-import tempfile
-import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termloom.sources.shared import BROADCAST_ROWS
+from termloom.sources.shared import drop_table as dropped
+from termloom.sources.shared import shared_path as shared_dir
+from termloom.sources.shared import table as stored
+
+__all__ = ["BROADCAST_ROWS", "WORD", "dropped", "free_name", "join_ids", "mix", "quoted", "shared_dir", "stored", "token_hashes"]
+
 #: A word is a run of ASCII letters and digits and of characters from U+00C0 on, but for the signs and punctuation
 #: blocks among these; case is ignored wherever words are compared. token_hashes() finds the same words.
 WORD = re.compile("[0-9a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u1fff\u2070-\u2fff\u3040-\U0010ffff]+")
-#: Ids up to this many are sent to every executor in a join; more are shuffled.
-BROADCAST_ROWS = 1_000_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh path under the folder the cluster names in spark.checkpoint.dir.
-
-    Only where that setting is absent (tests on one machine) is a temporary folder made and set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="termloom-")
-        atexit.register(shutil.rmtree, root.removeprefix("file://"), ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/termloom/{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: lineage ends there and no executor is needed for it."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def join_ids(df: DataFrame, ids: DataFrame, on: str, how: str, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -26,11 +26,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.similar_pairs(_documents(spark, sf_dir))
-
-
-def op4_near_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_groups(_documents(spark, sf_dir))
+    return jaccard.near_classes(_documents(spark, sf_dir))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +64,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_secret_scan": op3_secret_scan,
     "op4_jaccard_join": op4_jaccard_join,
-    "op4_near_groups": op4_near_groups,
     "op5_warc": op5_warc,
     "op6_token_orc": op6_token_orc,
     "op7_quality_rules": op7_quality_rules,

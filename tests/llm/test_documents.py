@@ -3,6 +3,7 @@
 import random
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from support import SCHEMA, features, groups, leaked, make, mixed, near_copies,
 from termloom.llm import decontaminate, jaccard, mixing, quality, sharding
 
 ODD = [(None, "null id here with words", "en", "web", 5), (900, None, None, None, None), (901, "", "en", "web", 0), (902, "same row", "en", "web", 8), (902, "same row", "en", "web", 8), (903, "word " * 30_000, "en", "web", 150_000)]
-CLASHING = ("shard", "removed", "nth", "mix_source", "MIX_BLOCK", "id", "t", "sig", "count")
+CLASHING = ("shard", "removed", "nth", "mix_source", "MIX_BLOCK", "id", "t", "sig", "count", "key", "root")
 
 
 def with_clashes(df):
@@ -109,54 +110,114 @@ SCHEMA_NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 # -- 4 ---------------------------------------------------------------------------------------------------------------
 
 
+def classes_by_search(rows):
+    """doc_id -> (smallest id of its class, number of similar documents), from all pairs."""
+    pairs = similar_pairs(rows)
+    links = {}
+    for a, b in pairs:
+        links.setdefault(a, set()).add(b)
+        links.setdefault(b, set()).add(a)
+    return {i: (ids[0], len(links[i])) for ids in groups(pairs).values() for i in ids}
+
+
+def classes_of(df):
+    return {x["doc_id"]: (x["class_id"], x["n_links"]) for x in df.collect()}
+
+
 @pytest.mark.parametrize("seed", [3, 4])
-def test_near_groups_match_brute_force(spark, seed):
+def test_near_classes_match_brute_force(spark, seed):
     rows = make(near_copies(seed))
-    want = groups(similar_pairs(rows))
-    got = {r["keep_id"]: r["doc_ids"] for r in jaccard.near_groups(table(spark, rows)).collect()}
-    assert len(want) > 5
-    pair = lambda g: {(a, b) for ids in g.values() for i, a in enumerate(ids) for b in ids[i + 1 :]}
-    assert pair(got) <= pair(want)
-    assert len(pair(got)) >= 0.9 * len(pair(want))
-
-
-def test_all_similar_pairs_within_groups(spark):
-    base = [f"w{i}" for i in range(41)]
-    texts = [" ".join([*base[:n], f"x{n}", *base[n + 1 :]]) for n in range(5, 25)]  # each like each other, none alike
-    texts += [texts[0], texts[3]] + [" ".join(base[i : i + 40]) + f" y{i} y y" for i in range(2)]
+    want, got = classes_by_search(rows), classes_of(jaccard.near_classes(table(spark, rows)))
+    assert len(want) > 30 and len(got) >= 0.97 * len(want)
+    assert sum(want[i] == x for i, x in got.items()) >= 0.97 * len(want)
+
+
+def test_near_classes_of_string_ids(spark):
+    rows = make(near_copies(6))
+    want = {f"d{i:04}": (f"d{c:04}", n) for i, (c, n) in classes_by_search(rows).items()}
+    docs = table(spark, rows).withColumn("doc_id", F.format_string("d%04d", "doc_id"))
+    assert classes_of(jaccard.near_classes(docs)) == want
+    kept = {x["doc_id"] for x in jaccard.drop_near_copies(docs).collect()}
+    assert kept == {f"d{r[0]:04}" for r in rows} - {i for i, (c, _) in want.items() if i != c}
+
+
+def test_all_links_of_a_large_class(spark, monkeypatch):
+    """A class of several hundred different texts, a copy each, cut into blocks; and pairs that the class links only by steps."""
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(250):  # a word of the base at a time gives way, so neighbours are alike and far ones aren't
+        words_ = list(base)
+        for j in range(i // 10 + 1):
+            words_[(i * 7 + j * 11) % 60] = f"x{i}_{j}"
+        texts += [" ".join(words_)] * 2
     rows = make(texts)
+    want = classes_by_search(rows)
+    monkeypatch.setattr(jaccard, "BLOCK_FEATURES", 1500)
+    monkeypatch.setattr(jaccard, "BLOCK_NODES", 16)
+    assert classes_of(jaccard.near_classes(table(spark, rows).repartition(3))) == want
+    assert len({c for c, _ in want.values()}) < len(want) / 2 and len({n for _, n in want.values()}) > 5
+
+
+def test_skewed_bucket_of_unlike_texts(spark, monkeypatch):
+    """Hundreds of texts that share one long passage and are unlike otherwise: full buckets, no links but the planted ones."""
+    r = random.Random(12)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [passage + " " + " ".join(f"o{i}_{j}" for j in range(r.randint(40, 80))) for i in range(300)]
+    texts += [t + " end" for t in texts[:20]]
+    rows = make(texts)
+    monkeypatch.setattr(jaccard, "BLOCK_NODES", 32)
+    want = {i: (min(i, j), 1) for k in range(20) for i, j in ((k + 1, k + 301), (k + 301, k + 1))}
+    assert classes_of(jaccard.near_classes(table(spark, rows).repartition(3))) == want
+
+
+def test_similar_pairs_are_exact(spark):
+    rows = make(near_copies(5, 6, 5) + ["same words in all of these"] * 3)
     got = {(x["a"], x["b"]): x["jaccard"] for x in jaccard.similar_pairs(table(spark, rows)).collect()}
-    node = {}
-    name = {r[0]: node.setdefault(r[1], r[0]) for r in rows}
-    want = {(a, b) if name[a] == a and name[b] == b else (name[a], b) for a, b in similar_pairs(rows) if name[a] == name[b] or (name[a] == a and name[b] == b)}
     held = {r[0]: features(r[1]) for r in rows}
-    assert set(got) <= want and len(got) > 0.9 * len(want) and len(want) > 150
+    first = {}
+    for r in rows:
+        first.setdefault(frozenset(held[r[0]]), r[0])
+    node = {i: first[frozenset(f)] for i, f in held.items()}
+    want = {(a, b) for a, b in similar_pairs(rows) if (node[a], node[b]) == (a, b) or (node[a] == a == node[b])}
+    assert set(got) <= want and len(got) >= 0.97 * len(want)
     assert all(s == pytest.approx(len(held[a] & held[b]) / len(held[a] | held[b])) for (a, b), s in got.items())
-    assert got[1, 21] == got[4, 22] == 1.0
 
 
-def test_near_groups_of_the_test_documents(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    rows = [tuple(r) for r in docs.select(*SCHEMA_NAMES).collect()]
-    want, got = groups(similar_pairs(rows)), {r["keep_id"]: r["doc_ids"] for r in jaccard.near_groups(docs).collect()}
-    pair = lambda g: {(a, b) for ids in g.values() for i, a in enumerate(ids) for b in ids[i + 1 :]}
-    assert pair(got) <= pair(want) and len(pair(got)) >= 0.9 * len(pair(want))
+@pytest.mark.parametrize(("low", "high"), [(3, 7), (8, 13), (14, 23), (24, 59), (60, 119), (120, 499), (500, 2500)])
+def test_recall_by_size(low, high):
+    """Pairs at the threshold itself: a set and three quarters of it, and two equally large sets."""
+    r = np.random.default_rng(low)
+    sets = []
+    for i in range(200):
+        a = r.integers(0, 1 << 63, int(r.integers(low, high + 1)), np.int64).astype(np.uint64)
+        held = a[: -(-3 * len(a) // 4)] if i % 2 else a[: -(-6 * len(a) // 7)]
+        other = r.integers(0, 1 << 63, 0 if i % 2 else len(a) - len(held), np.int64).astype(np.uint64)
+        sets += [np.sort(a), np.sort(np.concatenate((held, other)))]
+    who, sigs = jaccard.signatures(np.concatenate(sets), np.array([len(s) for s in sets]))
+    by = {}
+    for w, s in zip(who, sigs):
+        by.setdefault(w, set()).add(s)
+    found = np.mean([bool(by.get(2 * i, set()) & by.get(2 * i + 1, set())) for i in range(200)])
+    assert found >= 0.97
 
 
-def test_verified_pairs_are_exact(spark):
-    rows = make(near_copies(5, 6, 5))
-    text = {r[0]: features(r[1]) for r in rows}
-    for p in jaccard.near_pairs(table(spark, rows))[0].collect():
-        x, y = text[p["a"]], text[p["b"]]
-        assert p["jaccard"] == pytest.approx(len(x & y) / len(x | y)) and p["jaccard"] >= jaccard.THRESHOLD
+def test_near_classes_of_the_test_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [tuple(r) for r in docs.select(*SCHEMA_NAMES).collect()]
+    want, got = classes_by_search(rows), classes_of(jaccard.near_classes(docs))
+    assert sum(want[i] == x for i, x in got.items()) >= 0.97 * len(want) and len(got) <= len(want)
 
 
 def test_near_copies_odd_rows(spark):
     rows = [*ODD, (None, "null id here with words", "en", "web", 5), (904, "...", "en", "web", 3), (905, "...", "en", "web", 3), (906, "word " * 30_000, "en", "web", 1), (907, "short one", "en", "web", 1), (908, "Short ONE!", "en", "web", 1)]
+    rows += [(909, "long " + " ".join(f"w{i}" for i in range(40_000)), "en", "web", 1), (910, " ".join(f"w{i}" for i in range(40_000)), "en", "web", 1)]
+    rows += [(911, "one id and this first text", "en", "web", 1), (911, "a second text of that id", "en", "web", 1), (912, "a second text of that id", "en", "web", 1)]
     out = jaccard.drop_near_copies(with_clashes(table(spark, rows)))
     assert out.columns == [*SCHEMA_NAMES, *CLASHING]
-    assert sorted((r["doc_id"] or -1 for r in out.collect())) == [-1, -1, 900, 901, 902, 903, 904, 905, 907]
-    assert jaccard.near_groups(table(spark, rows[:0])).count() == 0
+    assert sorted((r["doc_id"] or -1 for r in out.collect())) == [-1, -1, 900, 901, 902, 903, 904, 905, 907, 909, 911]
+    got = classes_of(jaccard.near_classes(with_clashes(table(spark, rows))))
+    assert got == {903: (903, 1), 906: (903, 1), 907: (907, 1), 908: (907, 1), 909: (909, 1), 910: (909, 1), 911: (911, 1), 912: (911, 1)}
+    assert jaccard.near_classes(table(spark, rows[:0])).count() == 0 and jaccard.drop_near_copies(table(spark, rows[:0])).count() == 0
 
 
 # -- 7 ---------------------------------------------------------------------------------------------------------------
