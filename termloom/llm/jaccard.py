@@ -31,8 +31,9 @@ NGRAM, THRESHOLD, TARGET = 2, 0.75, 96
 #: Features that a signature must stand for: sets of at least SOLID_FROM need two, so that one common n-gram alone
 #: brings no candidates together; smaller ones need one.
 SOLID_FROM = 24
-#: Hash buckets of a sketch, the counts of features in each: their distance is never more than the sets' difference.
-SKETCH = 128
+#: Hash buckets of a sketch, two in a byte: the number of features in each, up to 15. The distance of two sketches is
+#: never more than the difference of their sets, so it rules pairs out at a tenth of the features' size.
+SKETCH = 512
 #: Nodes of a block of a signature bucket, and features in a block of a class: two blocks meet in one task.
 BLOCK_NODES, BLOCK_FEATURES = 256, 1 << 18
 #: Sets that a task remembers in order to sign copies once; beyond that many it starts anew.
@@ -172,8 +173,9 @@ def _features(n: int):
         for b in _batches(batches):
             feats, counts = shingles(b.column(1).to_pylist(), n)
             keys, ends = _keys(feats, counts), np.cumsum(counts)
-            held = np.bincount(np.repeat(np.arange(len(counts)), counts) * SKETCH + (feats >> np.uint64(57)).astype(np.int64), minlength=len(counts) * SKETCH)
-            sketch = np.minimum(held, 255).astype(np.uint8).reshape(-1, SKETCH)
+            held = np.bincount(np.repeat(np.arange(len(counts)), counts) * SKETCH + (feats >> np.uint64(55)).astype(np.int64), minlength=len(counts) * SKETCH)
+            held = np.minimum(held, 15).astype(np.uint8).reshape(len(counts), SKETCH)
+            sketch = held[:, 0::2] | held[:, 1::2] << 4
             own = [i for i in np.flatnonzero(keys == b.column(2).to_numpy()) if keys[i] not in seen and not seen.add(keys[i])]
             raw = [feats[ends[i] - counts[i] : ends[i]].tobytes() for i in own]
             yield pa.RecordBatch.from_arrays([pa.array(keys[own]), pa.array(counts[own].astype(np.int64)), pa.array([sketch[i].tobytes() for i in own], pa.binary()), pa.array(raw, pa.binary())], names=["key", "n", "sketch", "feats"])
@@ -181,6 +183,29 @@ def _features(n: int):
     return run
 
 
+def _unpacked(sketches: pa.Array) -> np.ndarray:
+    raw = np.frombuffer(b"".join(sketches.to_pylist()), np.uint8).reshape(-1, SKETCH // 2)
+    return np.concatenate((raw & 15, raw >> 4), 1).view(np.int8)
+
+
+def _fits(threshold: float, n: np.ndarray, m: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m features with sketches p and q can be similar."""
+    fit = np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9
+    fit[fit] = np.abs(p[fit] - q[fit]).sum(1) <= (1 - threshold) / (1 + threshold) * (n[fit] + m[fit]) + 1e-6
+    return fit
+
+
+def _screen(threshold: float):
+    """(a, b) of the rows (a, b, n, m, sketch, sketch) that can be similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _batches(batches, 4096):
+            fit = _fits(threshold, b.column(2).to_numpy(), b.column(3).to_numpy(), _unpacked(b.column(4)), _unpacked(b.column(5)))
+            yield b.select([0, 1]).filter(pa.array(fit))
+
+    return run
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sims = np.empty(b.num_rows)
@@ -214,25 +239,23 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _candidates(threshold: float):
     """(a, b) of the nodes of a cell that may be similar: of different groups, of fitting sizes and sketches."""
-    most = (1 - threshold) / (1 + threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _cells(batches):
             cell, side, key, root, lead, n = (b.column(i).to_numpy() for i in range(6))
-            sketch = np.frombuffer(b"".join(b.column(6).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16)
+            sketch = _unpacked(b.column(6))
             at, step, found = np.arange(len(cell)), 0, []
             while len(at):
                 step += 1
                 at = at[: np.searchsorted(at, len(cell) - step)]
                 at = at[cell[at] == cell[at + step]]
                 x, y = at, at + step
-                fit = (root[x] != root[y]) & ((side[x] != side[y]) | (side[x] == 2)) & (key[x] != lead[x]) & (key[y] != lead[y])
-                fit &= np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]) - 1e-9
-                x, y = x[fit], y[fit]
-                for part in range(0, len(x), 1 << 14):
-                    p, q = x[part : part + (1 << 14)], y[part : part + (1 << 14)]
-                    near = np.abs(sketch[p] - sketch[q]).sum(1) <= most * (n[p] + n[q]) + 1e-6
-                    found.append(np.stack((np.minimum(key[p], key[q])[near], np.maximum(key[p], key[q])[near])))
+                meet = (root[x] != root[y]) & ((side[x] != side[y]) | (side[x] == 2)) & (key[x] != lead[x]) & (key[y] != lead[y])
+                x, y = x[meet], y[meet]
+                for part in range(0, len(x), 4096):
+                    p, q = x[part : part + 4096], y[part : part + 4096]
+                    fit = _fits(threshold, n[p], n[q], sketch[p], sketch[q])
+                    found.append(np.stack((np.minimum(key[p], key[q])[fit], np.maximum(key[p], key[q])[fit])))
             pairs = np.unique(np.concatenate(found, 1), axis=1) if found else np.zeros((2, 0), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
@@ -346,7 +369,7 @@ class Near:
         repeated = not once.where("rows > 1").isEmpty()  # a set that several rows of one id have
         self.feats = (stored(join_ids(held, once.select("at"), "at", "left_semi")) if repeated else held).drop("at")
         stars = buckets.where("lead < key").select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct()
-        edges = self._verified(stars).select("a", "b")
+        edges = self._verified(self._met(stored(stars), "n", "sketch").mapInArrow(_screen(threshold), "a long, b long")).select("a", "b")
         twice = stored(self.docs.groupBy("id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("id", "a"))
         if not twice.isEmpty():  # rows with one id and several texts are one document
             edges = edges.unionByName(self.docs.join(twice, "id").where("a < key").select("a", F.col("key").alias("b")))
@@ -354,15 +377,19 @@ class Near:
         second = self._verified(self._apart(buckets, first))
         self.groups = stored(components(first.select(F.col("root").alias("a"), F.col("id").alias("b")).unionByName(second.select("a", "b"))).withColumnRenamed("id", "key"))
 
-    def _verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of nodes that are similar enough; the features of b go to where those of a are."""
-        pairs = stored(pairs)
+    def _met(self, pairs: DataFrame, *what: str) -> DataFrame:
+        """(a, b, what of a and what of b, in turn) of stored pairs (a, b) of nodes: what belongs to b goes to where that of a is."""
         small = pairs.count() <= BROADCAST_ROWS
         sent = lambda e: F.broadcast(e) if small else e.hint("merge")
-        right = self.feats.select(F.col("key").alias("b"), F.col("feats").alias("fb")).join(sent(pairs), "b")
-        left = self.feats.select(F.col("key").alias("a"), F.col("feats").alias("fa")).join(sent(pairs.select("a").distinct()), "a", "left_semi")
-        both = right.join(left.hint("merge"), "a").select("a", "b", "fa", "fb")
-        return stored(both.mapInArrow(_verify, "a long, b long, jaccard double").where(F.col("jaccard") >= self.threshold - 1e-9))
+        of = lambda c: self.feats.select(F.col("key").alias(c), *[F.col(x).alias(x + c) for x in what])
+        left = of("a").join(sent(pairs.select("a").distinct()), "a", "left_semi")
+        both = of("b").join(sent(pairs), "b").join(left.hint("merge"), "a")
+        return both.select("a", "b", *[x + c for x in what for c in "ab"])
+
+    def _verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of nodes that are similar enough."""
+        found = self._met(stored(pairs), "feats").mapInArrow(_verify, "a long, b long, jaccard double")
+        return stored(found.where(F.col("jaccard") >= self.threshold - 1e-9))
 
     def _apart(self, buckets: DataFrame, groups: DataFrame) -> DataFrame:
         """Pairs of nodes that share a signature, are in different groups so far and neither the bucket's smallest.
