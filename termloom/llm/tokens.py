@@ -15,6 +15,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,56 +38,91 @@ def tokenizer(vocabulary: str = VOCABULARY):
     return tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: A cut before a space is safe where no white space precedes it: then it begins a run of white space, and no piece of
+#: the pattern goes on into one. Texts with a space after white space are cut by SPACE, one by one.
+RUN = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}] "
+SPACE = re.compile(r"(?<=\S)(?= \S)")
+
+
 class _Pieces(dict):
-    """Piece -> its token ids as int32 bytes, made when first asked for."""
+    """Piece -> its token ids as int32 bytes, made when first asked for. `before` is put in front of each piece."""
 
-    def __init__(self, vocabulary: str) -> None:
+    def __init__(self, vocabulary: str, before: str = "") -> None:
         super().__init__()
-        self.own = tokenizer(vocabulary)
+        self.own, self.before = tokenizer(vocabulary), before
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= PIECES:
             self.clear()
-        found = self[piece] = np.array(self.own.encode_ordinary(piece), np.int32).tobytes()
+        found = self[piece] = np.array(self.own.encode_ordinary(self.before + piece), np.int32).tobytes()
         return found
 
-    def ids(self, text: str) -> bytes:
-        """Ids of a text. The tokenizer never joins characters across a space between two non-blanks, so the text
-        is cut there and each part looked up."""
-        if not text:
-            return b""
-        plain = not any(pair in text for pair in ("  ", " \n", "\n ", "\n\n")) and not text[0].isspace() and not text[-1].isspace()
-        if plain and text.count(" ") + text.count("\n") + 1 == len(text.split()):  # single blanks and line ends only
-            parts = text.replace(" ", "\0 ").split("\0") if "\0" not in text else SPACE.split(text)
-        else:
-            parts = SPACE.split(text)
-        return b"".join(map(self.__getitem__, parts))
 
+def _gather(raw: list[bytes], which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, number of ids) of the pieces raw[which], end to end."""
+    sizes = np.array([len(r) // 4 for r in raw], np.int64)
+    starts, own = np.cumsum(sizes) - sizes, sizes[which]
+    ends = np.cumsum(own)
+    at = np.repeat(starts[which] - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)
+    return np.frombuffer(b"".join(raw), np.int32)[at], own
 
-SPACE = re.compile(r"(?<=\S)(?= \S)")
+
+class _Encoder:
+    def __init__(self, vocabulary: str) -> None:
+        self.first, self.later = _Pieces(vocabulary), _Pieces(vocabulary, " ")
+
+    def ids(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(token ids of all texts end to end, number of ids of each); null texts have none.
+
+        The words of all texts are cut at once and only the distinct ones are encoded.
+        """
+        lists = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        words, stops = lists.flatten(), lists.offsets.to_numpy()
+        coded = words.dictionary_encode()
+        raw, which = [self.later[w] for w in coded.dictionary.to_pylist()], coded.indices.to_numpy().copy()
+        for at in stops[:-1]:  # the first word of a text has no space before it
+            raw.append(self.first[words[at].as_py()])
+            which[at] = len(raw) - 1
+        ids, sizes = _gather(raw, which)
+        ends = np.concatenate(([0], np.cumsum(sizes)))[stops]
+        counts = np.diff(ends)
+        odd = np.flatnonzero(pc.match_substring_regex(pc.fill_null(texts, ""), RUN).to_numpy(False))
+        if len(odd):
+            parts = np.split(ids, ends[1:-1])
+            for i in odd:
+                parts[i] = np.frombuffer(b"".join(map(self.first.__getitem__, SPACE.split(texts[i].as_py()))), np.int32)
+                counts[i] = len(parts[i])
+            ids = np.concatenate(parts)
+        return ids, counts
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, n_tokens, token_ids) of each row; a null text has null tokens, an empty one an empty list."""
+    """(doc_id, n_tokens, token_ids) of each row; a null text has null tokens, an empty one an empty list.
+
+    The vocabulary file is read on the driver and sent along, so the workers need not have it.
+    """
+    spark = docs.sparkSession
+    spark.sparkContext.addFile(vocabulary)
+    name = Path(vocabulary).name
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _Pieces(vocabulary)
+        encoder = _Encoder(SparkFiles.get(name))
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                raw = [None if t is None else pieces.ids(t) for t in part.column(1).to_pylist()]
-                sizes = np.array([len(r or b"") // 4 for r in raw], np.int32)
-                none = pa.array([r is None for r in raw])
-                stops = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
-                lists = pa.ListArray.from_arrays(stops, pa.array(np.frombuffer(b"".join(r or b"" for r in raw), np.int32)), mask=none)
-                yield pa.RecordBatch.from_arrays([part.column(0), pc.if_else(none, pa.scalar(None, pa.int32()), pa.array(sizes)), lists], names=["doc_id", "n_tokens", "token_ids"])
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                texts = part.column(1)
+                ids, counts = encoder.ids(texts)
+                none = texts.is_null()
+                stops = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
+                sizes = pc.if_else(none, pa.scalar(None, pa.int32()), pa.array(counts.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), sizes, pa.ListArray.from_arrays(stops, pa.array(ids), mask=none)], names=["doc_id", "n_tokens", "token_ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(quoted(id_col), quoted(text_col).cast("string")).mapInArrow(run, f"doc_id {kind}, n_tokens int, token_ids array<int>")
 
 
 def write_orc(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> None:
-    """Token ids of docs as ORC files in order of the document id."""
+    """Token ids of docs as ORC files in order of the document id; rows with one id stand in any order, null ids first."""
     ordered = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     options = {
         "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": INDEX_ROWS,
@@ -95,9 +131,9 @@ def write_orc(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     encode(ordered, vocabulary=vocabulary).write.options(**options).orc(path)
 
 
-def read_orc(spark: SparkSession, path: str, ids: list[int] | None = None) -> DataFrame:
+def read_orc(spark: SparkSession, path: str, ids: list | None = None, kind: str = "long") -> DataFrame:
     """The stored rows; with ids, only these, by predicates that the ORC reader checks against its metadata."""
-    rows = spark.read.schema("doc_id long, n_tokens int, token_ids array<int>").orc(path)
+    rows = spark.read.schema(f"doc_id {kind}, n_tokens int, token_ids array<int>").orc(path)
     return rows if ids is None else rows.where(F.col("doc_id").isin(list(ids)))
 
 
@@ -109,4 +145,4 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     path = shared_dir(docs.sparkSession)
     write_orc(docs, path, id_col, text_col, vocabulary)
-    return read_orc(docs.sparkSession, path)
+    return read_orc(docs.sparkSession, path, kind=docs.schema[id_col].dataType.simpleString())

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.orc as orc
 import pytest
 from pyspark.sql import functions as F
@@ -170,6 +171,24 @@ def test_token_ids_round_trip(spark):
     assert tokens.round_trip(table(spark, [])).count() == 0
 
 
+def test_token_ids_at_every_kind_of_gap():
+    r = random.Random(66)
+    own, encoder = tokens.tokenizer(), tokens._Encoder(tokens.VOCABULARY)
+    for _ in range(60):
+        texts = ["".join(r.choices(["a", "word", " ", "  ", "\n", "\t", " \n", "\u3000", "\xa0", "\x1c", "\x85", "'s", "12", "é", "!", "\0", "😀"], k=r.randint(0, 14))) for _ in range(40)] + [None]
+        ids, counts = encoder.ids(pa.array(texts))
+        parts = np.split(ids, np.cumsum(counts)[:-1])
+        for t, got in zip(texts, parts):
+            assert got.tolist() == own.encode_ordinary(t or ""), repr(t)
+
+
+def test_token_ids_of_string_ids_and_long_texts(spark):
+    rows = make([" ".join(f"w{i % 700}" for i in range(40_000)), "b", None])
+    docs = table(spark, rows).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    got = {x["doc_id"]: x["token_ids"] for x in tokens.round_trip(docs).collect()}
+    assert got == {f"d{x[0]}": None if x[1] is None else tokens.tokenizer().encode_ordinary(x[1]) for x in rows}
+
+
 def test_token_orc_is_sorted_and_pruned(spark, tmp_path):
     rows = make([prose(random.Random(i), 30) for i in range(3000)])
     tokens.write_orc(table(spark, rows).repartition(6), str(tmp_path / "o"))
