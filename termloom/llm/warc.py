@@ -5,11 +5,15 @@ Content-Length there, where the next record would begin. Payloads may hold the s
 only if the chain of successors from the start of the file reaches it. Within a chunk the chain is followed by
 the task itself; across chunks pointers are doubled, so the number of rounds grows with the logarithm of the
 number of chunks in a file. A second pass then parses each chunk from its verified entry on.
+
+Files whose records are gzip members of their own (*.warc.gz) are read alike: there a candidate is a place that
+decompresses, and its successor is where that member ends.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,7 +24,8 @@ from pyspark.sql import functions as F
 
 from termloom.llm.common import quoted, shared_dir, stored
 
-MAGIC = b"WARC/1.0\r\n"
+MAGIC, VERSIONS = b"WARC/1.", (b"WARC/1.0\r\n", b"WARC/1.1\r\n")
+MEMBER = b"\x1f\x8b\x08"
 #: Bytes of a chunk, and those read beyond it at once for headers that pass its end.
 CHUNK, HEADER = 8 << 20, 1 << 16
 LENGTH = re.compile(rb"(?mi)^content-length:[ \t]*(\d+)[ \t]*\r?$")
@@ -35,8 +40,8 @@ def _record(page_id: int | None, url: str | None, html: str | None) -> bytes:
         plain = "".join(f"%{ord(c):02X}" if c in "\r\n%" else c for c in url)
         head.append(b"WARC-Target-URI: " + plain.encode("utf-8", "surrogatepass"))
     if html is None:
-        head.append(b"WARC-Truncated: unspecified")
-    return MAGIC + b"\r\n".join([*head, b"Content-Length: %d" % len(payload)]) + b"\r\n\r\n" + payload + b"\r\n\r\n"
+        head.append(b"X-Payload: null")
+    return VERSIONS[0] + b"\r\n".join([*head, b"Content-Length: %d" % len(payload)]) + b"\r\n\r\n" + payload + b"\r\n\r\n"
 
 
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
@@ -121,19 +126,52 @@ class _Heads:
             start, part = start + len(part) - len(kept), kept + more
 
 
+class _Members:
+    """Records that seem to be compressed from given bytes of a file on, each a gzip member."""
+
+    def __init__(self, uri: str, base: int, size: int) -> None:
+        self.uri, self.base, self.buf = uri, base, _read(uri, base, size)
+
+    def at(self, at: int) -> tuple[bytes, int] | None:
+        """(the record, the byte after its member) of the member that seems to begin at byte `at`, None if it is no record."""
+        machine, parts, place, part = zlib.decompressobj(31), [], at, self.buf[at : at + HEADER]
+        try:
+            while part and not machine.eof:
+                parts.append(machine.decompress(part))
+                if not b"".join(parts[:2])[: len(MAGIC)] == MAGIC[: sum(map(len, parts[:2]))]:
+                    return None
+                place += len(part)
+                part = self.buf[place : place + HEADER] if place < len(self.buf) else _read(self.uri, self.base + place, 16 * HEADER)
+        except zlib.error:
+            return None
+        return (b"".join(parts), place - len(machine.unused_data)) if machine.eof else None
+
+
+def _starts(buf: bytes, magic: bytes, end: int) -> Iterator[int]:
+    at = buf.find(magic)
+    while 0 <= at < end:
+        if magic != MAGIC or buf.startswith(VERSIONS, at):
+            yield at
+        at = buf.find(magic, at + 1)
+
+
+def _packed(uri: str) -> bool:
+    return uri.endswith(".gz")
+
+
 def _scan(chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for uri, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                base = n * chunk
-                heads = _Heads(uri, base, chunk + HEADER)
-                buf = heads.buf
-                offsets, leaves = [], {}
-                at = buf.find(MAGIC)
-                while 0 <= at < chunk:
-                    if found := heads.at(at):
-                        offsets.append((base + at, base + found[0] + found[1] + 4))
-                    at = buf.find(MAGIC, at + 1)
+            for uri, length, n in zip(*(b.column(i).to_pylist() for i in range(3))):
+                base, offsets, leaves = n * chunk, [], {}
+                if _packed(uri):
+                    members = _Members(uri, base, chunk + HEADER)
+                    offsets = [(base + at, base + found[1]) for at in _starts(members.buf, MEMBER, chunk) if (found := members.at(at))]
+                else:
+                    heads = _Heads(uri, base, chunk + HEADER)
+                    found = ((at, heads.at(at)) for at in _starts(heads.buf, MAGIC, chunk))
+                    # a successor beyond the end of the file is no record's; the last record may lack its closing line ends
+                    offsets = [(base + at, base + f[0] + f[1] + 4) for at, f in found if f and base + f[0] + f[1] <= length]
                 for start, after in reversed(offsets):  # the place outside this chunk to which a candidate leads
                     leaves[start] = leaves.get(after, after)
                 yield pa.RecordBatch.from_arrays([pa.array([uri] * len(offsets), pa.string()), pa.array([o for o, _ in offsets], pa.int64()), pa.array([leaves[o] for o, _ in offsets], pa.int64())], names=["file", "at", "to"])
@@ -142,12 +180,12 @@ def _scan(chunk: int):
 
 
 def entries(spark: SparkSession, folder: str, chunk: int = CHUNK) -> DataFrame:
-    """(file, at): of every chunk that a chain from a file's start touches, the first record that begins in it."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc").load(folder).select("path", "length")
-    chunks = files.select(F.col("path").alias("file"), F.explode(F.sequence(F.lit(0), F.expr(f"int(greatest(length - 1, 0) div {chunk})"))).alias("n"))
+    """(file, length, at): of every chunk that a chain from a file's start touches, the first record that begins in it."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{warc,warc.gz}").load(folder).select("path", "length")
+    chunks = files.select(F.col("path").alias("file"), "length", F.explode(F.sequence(F.lit(0), F.expr(f"int(greatest(length - 1, 0) div {chunk})"))).alias("n"))
     chunks = stored(chunks)
     tasks = max(1, min(chunks.count(), 10_000))
-    jumps = stored(chunks.repartition(tasks).mapInArrow(_scan(chunk), "file string, at long, to long"))
+    jumps = stored(chunks.select("file", "length", "n").repartition(tasks).mapInArrow(_scan(chunk), "file string, at long, to long"))
     heads = jumps.where("at = 0").select("file", "at")
     # only places that another chunk's candidate leads to (and file starts) can be entries
     aims = jumps.select("file", F.col("to").alias("at")).distinct()
@@ -160,33 +198,58 @@ def entries(spark: SparkSession, folder: str, chunk: int = CHUNK) -> DataFrame:
         reached = stored(reached.unionByName(further).distinct().join(jumps.select("file", "at"), ["file", "at"], "left_semi"))
         twice = jumps.select("file", F.col("to").alias("mid"), "at").join(jumps.select("file", F.col("at").alias("mid"), F.col("to")), ["file", "mid"], "left")
         jumps = stored(twice.select("file", "at", F.coalesce("to", "mid").alias("to")))
-    return reached.distinct()
+    return reached.distinct().join(chunks.select("file", "length").distinct(), "file")
+
+
+def _fields(head: bytes) -> dict[str, str]:
+    """Header names in small letters and their values; a header that isn't UTF-8 is taken as Latin-1."""
+    try:
+        text = head.decode("utf-8")
+    except UnicodeDecodeError:
+        text = head.decode("latin-1")
+    return {name.lower(): value for name, value in re.findall(r"(?m)^([\w-]+):[ \t]*(.*?)\r?$", text)}
+
+
+def _row(uri: str, at: int, head: bytes, payload: bytes) -> tuple:
+    fields = _fields(head)
+    own = re.fullmatch(r"<urn:page:(-?\d{1,18})>", fields.get("warc-record-id", ""))
+    url = fields.get("warc-target-uri")
+    url = url and re.sub("%(0D|0A|25)", lambda m: chr(int(m[1], 16)), url)
+    html = None if fields.get("x-payload") == "null" else payload.decode("utf-8", "replace")
+    return uri.rsplit("/", 1)[-1], at, int(own[1]) if own else None, url, html, len(payload)
+
+
+def _plain_records(uri: str, length: int, at: int, stop: int) -> Iterator[tuple]:
+    base, heads = at, _Heads(uri, at, stop - at + HEADER)
+    buf = heads.buf
+    while at < stop and buf.startswith(VERSIONS, at - base) and (found := heads.at(at - base)):
+        start, size = found
+        if base + start + size > length:
+            return
+        payload = buf[start : start + size] if start + size <= len(buf) else _read(uri, base + start, size)
+        yield _row(uri, at, buf[at - base : start] if start <= len(buf) else _read(uri, at, start - (at - base)), payload)
+        at = base + start + size + 4
+
+
+def _packed_records(uri: str, at: int, stop: int) -> Iterator[tuple]:
+    base, members = at, _Members(uri, at, stop - at + HEADER)
+    while at < stop and (found := members.at(at - base)):
+        record, end = found
+        blank = record.find(b"\r\n\r\n")
+        size = LENGTH.search(record, 0, blank + 2) if blank >= 0 else None
+        if not record.startswith(VERSIONS) or not size or int(size[1]) > len(record) - blank - 4:
+            return
+        yield _row(uri, at, record[:blank], record[blank + 4 : blank + 4 + int(size[1])])
+        at = base + end
 
 
 def _parse(chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for uri, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                stop = (at // chunk + 1) * chunk
-                base, heads = at, _Heads(uri, at, stop - at + HEADER)
-                buf = heads.buf
-                rows = []
-                while at < stop and buf.startswith(MAGIC, at - base) and (found := heads.at(at - base)):
-                    start, size = found
-                    if start + size > len(buf):
-                        payload = _read(uri, base + start, size)
-                    else:
-                        payload = buf[start : start + size]
-                    if len(payload) < size:
-                        break
-                    plain = buf[at - base : start] if start <= len(buf) else _read(uri, at, start - (at - base))
-                    head = dict(re.findall(r"(?m)^([\w-]+):[ \t]*(.*?)\r?$", plain.decode("utf-8", "surrogatepass")))
-                    own = re.fullmatch(r"<urn:page:(-?\d+)>", head.get("WARC-Record-ID", ""))
-                    url = head.get("WARC-Target-URI")
-                    url = url and re.sub("%(0D|0A|25)", lambda m: chr(int(m[1], 16)), url)
-                    html = None if "WARC-Truncated" in head else payload.decode("utf-8", "replace")
-                    rows.append((uri.rsplit("/", 1)[-1], at, int(own[1]) if own else None, url, html, size))
-                    at = base + start + size + 4
+            for uri, length, at in zip(*(b.column(i).to_pylist() for i in range(3))):
+                stop, rows = (at // chunk + 1) * chunk, []
+                for row in _packed_records(uri, at, stop) if _packed(uri) else _plain_records(uri, length, at, stop):
+                    rows.append(row)
                     if len(rows) == 256:
                         yield _rows(rows)
                         rows = []
@@ -204,16 +267,18 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def read_warc(spark: SparkSession, folder: str, chunk: int = CHUNK) -> DataFrame:
-    """Records (file, offset, page_id, url, html, payload_bytes) of the *.warc files in folder.
-
-    Only records on the chain from a file's start are returned. A damaged header or a wrong length ends the
-    chain: what follows in that file is left out. A last record that is cut short is left out too. Payloads of
-    any length, headers of any length and repeated records are read; without a page id or url these are null; so is the html of a
-    record marked as truncated. An empty folder or file gives no record.
+    """Records (file, offset, page_id, url, html, payload_bytes) of the *.warc and *.warc.gz files in folder.
+
+    Versions 1.0 and 1.1. Only records on the chain from a file's start are returned. A damaged header, a wrong length
+    or one that points beyond the file ends the chain: what follows in that file is left out. A last record that is cut
+    short is left out too. Payloads and headers of any length and repeated records are read. Header names are matched
+    without case; a header that isn't UTF-8 is read as Latin-1, a payload that isn't has replacement characters. Of a
+    record that is marked as truncated the payload that is there is returned. Without a page id or url these are null;
+    html is null where write_warc() was given a null. An empty folder or file gives no record.
     """
     start = entries(spark, folder, chunk)
     tasks = max(1, min(start.count(), 10_000))
-    return start.repartition(tasks).mapInArrow(_parse(chunk), "file string, offset long, page_id long, url string, html string, payload_bytes long")
+    return start.select("file", "length", "at").repartition(tasks).mapInArrow(_parse(chunk), "file string, offset long, page_id long, url string, html string, payload_bytes long")
 
 
 def round_trip(pages: DataFrame, chunk: int = CHUNK, **columns) -> DataFrame:

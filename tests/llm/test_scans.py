@@ -1,6 +1,7 @@
 """Secret scans, WARC, token ids, personal data and page differencing: brute force, round trips, held-out accuracy."""
 
 import glob
+import gzip
 import random
 import re
 
@@ -153,6 +154,37 @@ def test_warc_broken_files(spark, tmp_path):
     assert got == [("a.warc", i) for i in range(5)] + [("b.warc", 0), ("b.warc", 1)]
 
 
+def test_warc_hostile_and_foreign_records(spark, tmp_path):
+    def record(payload, *head, version=b"1.0"):
+        return b"WARC/" + version + b"\r\n" + b"".join(h + b"\r\n" for h in head) + b"content-LENGTH: %d\r\n\r\n" % len(payload) + payload + b"\r\n\r\n"
+
+    magic = b"WARC/1.0\r\nContent-Length: 99999999999999999999999\r\n\r\nWARC/1.1\r\nContent-Length: 77777777\r\n\r\n"
+    records = [
+        record(magic * 3, b"WARC-Target-URI: one"), record(b"cut", b"WARC-Truncated: length", b"warc-target-uri: two"), record(b"caf\xe9", b"WARC-Target-URI: caf\xe9"),
+        record("é".encode(), "WARC-Target-URI: é".encode(), version=b"1.1"), record(b"", b"WARC-Type: metadata"), record(b"z" * 5000 + magic, b"WARC-RECORD-ID: <urn:page:7>"),
+    ]
+    want = [(None, "one", (magic * 3).decode()), (None, "two", "cut"), (None, "café", "caf\ufffd"), (None, "é", "é"), (None, None, ""), (7, None, "z" * 5000 + magic.decode())]
+    (tmp_path / "a.warc").write_bytes(b"".join(records))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (tmp_path / "c.warc").write_bytes(magic + records[0])  # hostile from the start: no chain
+    (tmp_path / "d.warc").write_bytes(records[1] + records[0][:-4])  # without the last line ends
+    (tmp_path / "e.warc.gz").write_bytes(gzip.compress(records[0]) + gzip.compress(records[1])[:-9])
+    (tmp_path / "f.txt").write_bytes(records[0])
+    for chunk in (100, 8 << 20):
+        by = {}
+        for x in warc.read_warc(spark, tmp_path.as_uri(), chunk).orderBy("file", "offset").collect():
+            by.setdefault(x["file"], []).append((x["page_id"], x["url"], x["html"]))
+        assert by == {"a.warc": want, "b.warc.gz": want, "d.warc": [want[1], want[0]], "e.warc.gz": want[:1]}
+
+
+def test_warc_many_gzip_members(spark, tmp_path):
+    r = random.Random(9)
+    rows = [(i, f"http://h/{i}", "".join(r.choices("ab\x1f\x8b\x08 ", k=r.randint(0, 3000)))) for i in range(150)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(warc._record(*x), r.randint(0, 9)) for x in rows))
+    got = rows_of(warc.read_warc(spark, tmp_path.as_uri(), 4096).select("page_id", "url", "html"))
+    assert got == sorted(rows, key=repr)
+
+
 def test_warc_of_nothing(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
 
