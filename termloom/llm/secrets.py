@@ -42,8 +42,6 @@ RULES = {
     "private_key": "-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----",
     "assigned_secret": f"(?:{_KEYWORD}) ?[=:] ?[\"']?[0-9A-Za-z+/_-]{{16,}}(?:\\.[0-9A-Za-z+/_-]{{1,}}){{0,}}={{0,2}}",
 }
-#: The rules as the SQL states them, all behind TOKEN and with values of at most 48 characters.
-SQL_RULES = RULES | {"assigned_secret": "(?:[Pp]assword|[Pp]asswd|[Ss]ecret|[Tt]oken|[Aa]pi_?[Kk]ey) ?[=:] ?[\"']?[0-9A-Za-z+/_-]{16,48}"}
 STRIPE = 2048
 
 
@@ -399,12 +397,10 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def oracle_sql(table: str = "documents") -> str:
+    """The same rules by the SQL engine's own regular expressions: every match after any byte, whole."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    each = []
-    for name, rule in SQL_RULES.items():
-        p = quote(f"(?:^|[^{TOKEN}])({rule})")
-        each.append(f"SELECT doc_id, {quote(name)} AS rule, regexp_extract_all(text, {p}) AS whole, regexp_extract_all(text, {p}, 1) AS found, string_split_regex(text, {quote(f'(?:^|[^{TOKEN}])(?:{rule})')}) AS rest FROM {table} WHERE regexp_matches(text, {p})")
+    each = [f"SELECT doc_id, {quote(name)} AS rule, regexp_extract_all(text, {quote(p)}) AS found, string_split_regex(text, {quote(p)}) AS rest FROM {table} WHERE regexp_matches(text, {quote(p)})" for name, p in RULES.items()]
     return f"""
 WITH hits AS ({" UNION ALL ".join(each)})
-SELECT doc_id, rule, (list_sum(list_transform(rest[1:n], lambda x: length(x))) + list_sum(list_transform(whole[1:n], lambda x: length(x))) - length(found[n]) + 1)::BIGINT AS start, found[n] AS secret
+SELECT doc_id, rule, (list_sum(list_transform(rest[1:n], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:n - 1], lambda x: length(x))), 0) + 1)::BIGINT AS start, found[n] AS secret
 FROM (SELECT *, unnest(range(1, len(found) + 1)) AS n FROM hits)"""
