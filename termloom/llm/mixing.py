@@ -24,14 +24,14 @@ UNIT = 1_000_000_000
 #: Without explicit weights a source weighs its size to this power: large sources are damped, small ones raised.
 TEMPERATURE = 0.7
 SEED = 13
-#: Rows of the largest source in a block of the hash order, about: blocks grow in number with the data, not in size.
-BLOCK_ROWS = 20_000
+#: Size of a block of the largest source in the hash order, at most: blocks grow in number with the data, not in size.
+BLOCK_SIZE = 8 << 20
 
 
 def rates(docs: DataFrame, source_col: str, size_col: str, weights: Mapping[str, float] | None, temperature: float, seed: int) -> DataFrame:
     """(source, units expected of each document, offset in units); a source of no size or weight gets 0."""
-    source = F.col(source_col).cast("string")
-    sizes = docs.groupBy(source.alias("source")).agg(F.sum(F.greatest(F.coalesce(F.col(size_col).cast("long"), F.lit(0)), F.lit(0))).alias("size"))
+    source = quoted(source_col).cast("string")
+    sizes = docs.groupBy(source.alias("source")).agg(F.sum(F.greatest(F.coalesce(quoted(size_col).cast("long"), F.lit(0)), F.lit(0))).alias("size"))
     if weights is None:
         weight = F.when(F.col("size") > 0, F.pow(F.col("size").cast("double"), F.lit(temperature))).otherwise(0.0)
     else:
@@ -52,14 +52,16 @@ def mix_sources(docs: DataFrame, source_col: str = "source", size_col: str = "n_
     that they don't name, it gets nothing). Null and negative sizes count as 0 in a source's size. Rows that
     share an id, or whose id is null, are ordered by their size and text hash; equal rows take each other's
     place without changing the result. A source whose sizes are all 0 is left out; an empty table stays empty.
+    Texts of any length pass through, as do extra columns whatever their names.
     """
     source, block, order, tie, before, units, offset, copies = (free_name(docs, "mix_" + x) for x in ("source", "block", "order", "tie", "before", "units", "offset", "copies"))
-    rate = rates(docs.select(source_col, size_col), source_col, size_col, weights, temperature, seed)
+    rate = rates(docs.select(quoted(source_col), quoted(size_col)), source_col, size_col, weights, temperature, seed)
     named = lambda c: F.coalesce(F.concat(F.lit("s"), c.cast("string")), F.lit("n"))
     rate = rate.where("units > 0").select(named(F.col("source")).alias(source), F.col("units").alias(units), F.col("offset").alias(offset))
     keyed = docs.withColumns({source: named(quoted(source_col)), order: F.md5(F.coalesce(quoted(id_col).cast("string"), F.lit(""))), tie: F.xxhash64(*[quoted(c) for c in docs.columns])})
-    most = docs.groupBy(source_col).count().agg(F.max("count")).first()[0] or 0
-    digits = max(1, math.ceil(math.log(max(1, most / BLOCK_ROWS), 16)))
+    # a row counts as at least 64 bytes, so that sources of tiny or unsized rows are cut as well
+    most = docs.groupBy(quoted(source_col)).agg(F.sum(F.greatest(F.coalesce(quoted(size_col).cast("long"), F.lit(0)), F.lit(64))).alias("size")).agg(F.max("size")).first()[0] or 0
+    digits = max(1, math.ceil(math.log(max(1, most / BLOCK_SIZE), 16)))
     keyed = keyed.withColumn(block, F.substring(quoted(order), 1, digits))
     counts = keyed.groupBy(source, block).count()
     earlier = Window.partitionBy(source).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)

@@ -1,5 +1,6 @@
 """Sharding, decontamination, near copies, quality rules and mixing against brute force, and their edge cases."""
 
+import bisect
 import random
 
 import duckdb
@@ -49,10 +50,45 @@ def test_shards_split_a_hot_key(spark):
     assert len(sizes) > 3 and max(sizes) <= 8_000 * sharding.SLACK
 
 
+def test_shards_match_a_walk(spark, monkeypatch):
+    """With every row drawn the cuts are the exact quantiles, range by range; the rows lie where a search puts them."""
+    r = random.Random(4)
+    rows = spark.createDataFrame([(r.randrange(60), r.randrange(1 << 40), r.randint(1, 90)) for _ in range(2000)], "k long, t long, s long").persist()
+    monkeypatch.setattr(sharding, "FANOUT", 5)  # several rounds of subdivision
+    cuts = sharding.splitters(rows, shard_bytes=1000, oversample=10**9)
+    pairs = list(zip(cuts.keys.tolist(), cuts.ties.tolist()))
+    held = sorted(tuple(x) for x in rows.collect())
+
+    def walk(part, limit):
+        size = sum(s for *_, s in part)
+        if size <= limit or len({x[:2] for x in part}) < 2:
+            return []
+        n, seen, found = min(5, -(-size // 1000)), 0, set()
+        for k, t, s in part:
+            if len(found) < n - 1 and seen >= size * (len(found) + 1) / n:
+                found.add((k, t))
+            seen += s
+        edges = [(-(1 << 63), 0), *sorted(found), (1 << 62, 0)]
+        return sorted(found) + [c for a, b in zip(edges, edges[1:]) for c in walk([x for x in part if a <= x[:2] < b], 1250)]
+
+    want = sorted(walk(held, 1000))
+    assert pairs == want and len(want) > 40
+    got = rows.withColumn("r", cuts.range_of(spark, F.col("k"), F.col("t"))).collect()
+    assert all(x["r"] == bisect.bisect_right(pairs, (x["k"], x["t"])) for x in got)
+
+
+def test_overfull_ranges_are_cut_until_they_fit(spark):
+    """A tight knot of keys in a wide range, which a sparse sample finds only step by step."""
+    rows = [(i, "x" * 400, "en", "web", 1) for i in range(3000)] + [(1 << 40 | i << 20, "y", "en", "web", 1) for i in range(300)]
+    out = sharding.shard(table(spark, rows), shard_bytes=2_000, oversample=2)
+    sizes = [x["b"] for x in out.groupBy("shard").agg(F.sum(F.length("text")).alias("b")).collect()]
+    assert max(sizes) <= 2_000 * sharding.SLACK and len(sizes) > 500
+
+
 def test_shards_odd_rows(spark):
     docs = table(spark, ODD)
     out = sharding.shard(with_clashes(docs), shard_bytes=1_000)
-    assert "shard_" in out.columns and out.count() == len(ODD)
+    assert out.columns == [*SCHEMA_NAMES, *CLASHING, "shard_"] and rows_of(out.drop("shard_")) == rows_of(with_clashes(docs))
     first = out.orderBy("shard_").first()
     assert first["doc_id"] is None
     assert out.where("doc_id = 902").select("shard_").distinct().count() == 1
@@ -261,7 +297,7 @@ def test_mixing_matches_a_walk(spark):
 
 def test_mixing_blocks_do_not_change_the_result(spark, monkeypatch):
     rows = make([prose(random.Random(i), 5) for i in range(300)])
-    monkeypatch.setattr(mixing, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(mixing, "BLOCK_SIZE", 500)
     assert rows_of(mixing.mix_sources(table(spark, rows))) == sorted(mixed(rows), key=repr)
 
 
