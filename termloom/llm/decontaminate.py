@@ -21,8 +21,9 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 from termloom.llm.common import WORD, free_name, mix, quoted, token_hashes
 
 MAX_WORDS, MAX_COVERAGE, MIN_WORDS = 13, 0.8, 5
-#: Words of items in one automaton; more items make several automata, each streamed in turn.
-AUTOMATON_WORDS = 1_000_000
+#: Words of the items whose automata are on the driver and sent to the executors at once (some 500 bytes a word);
+#: more items are taken in several passes over the texts.
+AUTOMATON_WORDS = 200_000
 
 
 class SuffixAutomaton:
@@ -124,18 +125,13 @@ def normalise(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def build(texts: list[str | None], max_words: int = MAX_WORDS, max_coverage: float = MAX_COVERAGE, min_words: int = MIN_WORDS, limit: int = AUTOMATON_WORDS) -> list[SuffixAutomaton]:
-    """Automata over all items, none holding more than about `limit` words. Blank and repeated items add nothing."""
-    made, size = [], limit + 1
+def build(texts: list[str | None], max_words: int = MAX_WORDS, max_coverage: float = MAX_COVERAGE, min_words: int = MIN_WORDS) -> SuffixAutomaton:
+    """The automaton of all items. Blank and repeated items add nothing."""
+    machine = SuffixAutomaton()
     for words in sorted({tuple(normalise(t)) for t in texts} - {()}):
-        if size + len(words) > limit and (not made or size):
-            made.append(SuffixAutomaton())
-            size = 0
-        made[-1].add(list(words))
-        size += len(words)
-    for machine in made:
-        machine.finish(max_words, max_coverage, min_words)
-    return made
+        machine.add(list(words))
+    machine.finish(max_words, max_coverage, min_words)
+    return machine
 
 
 def runs(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -187,40 +183,57 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 SPANS = "array<struct<start:int,words:int>>"
 
 
-def scan(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "text", max_words: int = MAX_WORDS, max_coverage: float = MAX_COVERAGE, min_words: int = MIN_WORDS, automaton_words: int = AUTOMATON_WORDS) -> tuple[DataFrame, str]:
-    """docs with the cleaned text in text_col and the removed word ranges in an added column, whose name is returned.
-
-    Null and empty texts have no ranges and stay as they are; so do all texts when there is no item.
-    Nulls elsewhere, repeated rows and extra columns pass through.
-    """
-    texts = [r[0] for r in items.select(F.col(item_col).cast("string")).distinct().toLocalIterator()]
-    shortest = min(max_words, min_words)  # no range of fewer words is removed, so a text without any item's run of these has none
-    known = np.unique(runs(texts, shortest)[1])
-    machines = docs.sparkSession.sparkContext.broadcast((known, build(texts, max_words, max_coverage, min_words, automaton_words)))
-    name, where = free_name(docs, "removed"), docs.columns.index(text_col)
+def _pass(machine, shortest: int, text_at: int, spans_at: int | None, last: bool):
+    """Adds the ranges of one automaton to those found before; after the last one they are merged and cut out."""
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, automata = machines.value
+        known, automaton = machine.value
         for b in (x.slice(at, 512) for x in batches for at in range(0, x.num_rows, 512)):
-            cleaned = b.column(where).to_pylist()
-            spans: list[list[dict]] = [[] for _ in cleaned]
-            doc, grams = runs(cleaned, shortest)
-            for i in np.unique(doc[_among(grams, known)]):
-                words = normalise(cleaned[i])
-                found = merge([s for m in automata for s in m.spans(words)])
-                cleaned[i] = cut(cleaned[i], found) if found else cleaned[i]
-                spans[i] = [{"start": a, "words": z - a} for a, z in found]
-            columns = [*b.columns[:where], pa.array(cleaned, b.schema.field(where).type), *b.columns[where + 1 :], pa.array(spans, spans_type)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names, name])
+            texts, columns = b.column(text_at).to_pylist(), b.columns
+            found: dict[int, list[tuple[int, int]]] = {}
+            if spans_at is not None:
+                found = {i: [(s["start"], s["start"] + s["words"]) for s in own] for i, own in enumerate(columns.pop(spans_at).to_pylist()) if own}
+            doc, grams = runs(texts, shortest)
+            for i in np.unique(doc[_among(grams, known)]).tolist():
+                found[i] = merge(found.get(i, []) + automaton.spans(normalise(texts[i])))
+            spans: list[list[dict]] = [[] for _ in texts]
+            for i, own in found.items():
+                spans[i] = [{"start": a, "words": z - a} for a, z in own]
+                texts[i] = cut(texts[i], own) if last and own else texts[i]
+            columns[text_at] = pa.array(texts, b.schema.field(text_at).type)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, spans_type)], names=[*b.schema.names[: len(columns)], "spans"])
+
+    return run
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, _parse_datatype_string(SPANS))])), name
+
+def scan(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "text", max_words: int = MAX_WORDS, max_coverage: float = MAX_COVERAGE, min_words: int = MIN_WORDS, automaton_words: int = AUTOMATON_WORDS) -> tuple[DataFrame, str]:
+    """docs with the cleaned text in text_col and the removed word ranges in an added column, whose name is returned.
+
+    Null and empty texts have no ranges and stay as they are; so do all texts when there is no item. Items of fewer
+    than `min_words` words are never matched, whatever their coverage. Very long texts are scanned whole, repeated
+    rows alike; nulls elsewhere and extra columns, whatever their names, pass through (the added column is called
+    `removed`, with underscores where that is taken). The items are counted first; each pass over the texts holds
+    about `automaton_words` words of them.
+    """
+    wanted = items.select(F.col(item_col).cast("string").alias("t")).where("t is not null").distinct()
+    words = wanted.agg(F.sum(F.size(F.split(F.lower("t"), "[^0-9a-z\u00c0-\U0010ffff]+")))).first()[0] or 0
+    passes = max(1, -(-words // automaton_words))
+    shortest = min(max_words, min_words)  # no range of fewer words is removed, so a text without any item's run of these has none
+    name, where, found = free_name(docs, "removed"), docs.columns.index(text_col), docs
+    kept = StructType([*docs.schema.fields, StructField(name, _parse_datatype_string(SPANS))])
+    for n in range(passes):
+        texts = [r["t"] for r in wanted.where(F.pmod(F.xxhash64("t"), F.lit(passes)) == n).collect()]
+        machine = docs.sparkSession.sparkContext.broadcast((np.unique(runs(texts, shortest)[1]), build(texts, max_words, max_coverage, min_words)))
+        found = found.mapInArrow(_pass(machine, shortest, where, len(docs.columns) if n else None, n == passes - 1), kept)
+    return found, name
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", **limits) -> DataFrame:
     """docs with benchmark passages cut out of the texts, columns as before; length_col follows the new text.
 
-    A document of which nothing but blanks and punctuation is left is dropped. See scan() for nulls.
+    A document of which nothing but blanks and punctuation is left is dropped. See scan() for nulls, long texts,
+    repeated rows, clashing names and empty tables.
     """
     found, name = scan(docs, items, text_col, **limits)
     hit = F.size(quoted(name)) > 0
@@ -231,7 +244,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", len
 
 
 def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
-    """One row for each contaminated document: (doc_id, n_spans, n_words, longest, removed, clean_text)."""
+    """One row for each contaminated document: (doc_id, n_spans, n_words, longest, removed, clean_text).
+
+    A null id stays null, repeated rows give repeated rows, extra columns are left out; see scan() for the rest.
+    """
     found, name = scan(docs.select(id_col, text_col), items, text_col, **limits)
     spans = quoted(name)
     return found.where(F.size(spans) > 0).select(
