@@ -21,17 +21,50 @@ from pyspark.sql.window import Window
 
 from termloom.llm.common import quoted, stored
 
-HIDDEN = re.compile(r"(?is)<!--.*?-->|<(script|style|noscript|template|svg)\b[^>]*>.*?</\1\s*>|<!doctype[^>]*>|<head\b[^>]*>.*?</head\s*>")
+OPEN = re.compile(r"(?i)<(?:(!--)|(!doctype)|(script|style|noscript|template|svg|head)\b)")
+CLOSE = {name: re.compile(rf"(?i)</{name}\s*>") for name in ("script", "style", "noscript", "template", "svg", "head")}
 BREAK = re.compile(r"(?i)</?(?:address|article|aside|blockquote|body|br|caption|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|legend|li|main|nav|ol|option|p|pre|section|select|table|tbody|td|tfoot|th|thead|tr|ul)\b[^>]*>")
 TAG = re.compile(r"<[/a-zA-Z!?][^>]*>")
 #: Bits of alignment table held at once; larger alignments are halved first.
 TABLE_BITS = 1 << 28
 
 
+def shown(page: str) -> str:
+    """The page without comments, document types and elements that aren't displayed, a line end for each.
+
+    What is opened and never closed is shown. Each search goes on from the last, so a page of any length with any
+    number of unclosed tags is read once for each kind.
+    """
+    parts, start, open_for_good = [], 0, set()
+    at = OPEN.search(page)
+    while at:
+        kind = at[1] or at[2] or at[3]
+        kind = kind.lower()
+        end = -1
+        if kind not in open_for_good:
+            if kind == "!--":
+                end = page.find("-->", at.end())
+                end = end + 3 if end >= 0 else -1
+            else:
+                end = page.find(">", at.end()) + 1 or -1
+                if end >= 0 and kind != "!doctype":
+                    closed = CLOSE[kind].search(page, end)
+                    end = closed.end() if closed else -1
+            if end < 0:
+                open_for_good.add(kind)
+        if end >= 0:
+            parts.append(page[start : at.start()])
+            start = end
+        at = OPEN.search(page, end if end >= 0 else at.end())
+    return "\n".join([*parts, page[start:]])
+
+
 def text_lines(page: str | None) -> list[str]:
     """Visible text of a page, a line for each block, blanks joined; blank lines are left out."""
-    shown = TAG.sub("", BREAK.sub("\n", HIDDEN.sub("\n", page or "")))
-    lines = (" ".join(html.unescape(x).split()) for x in shown.split("\n"))
+    text = shown(page or "")
+    last = text.rfind(">") + 1  # behind it no tag ends
+    text = TAG.sub("", BREAK.sub("\n", text[:last])) + text[last:]
+    lines = (" ".join(html.unescape(x).split()) for x in text.split("\n"))
     return [x for x in lines if x]
 
 

@@ -118,21 +118,25 @@ def test_decontamination_matches_brute_force(spark):
         assert words(row["text"]) == [w for i, w in enumerate(words(before)) if i not in gone]
 
 
-def test_decontamination_several_automata_agree(spark):
-    items = [prose(random.Random(i), 20) for i in range(8)]
-    texts = [prose(random.Random(50), 10) + " " + x for x in items]
+def test_decontamination_in_several_passes_agrees(spark):
+    items = [prose(random.Random(i), 20) for i in range(8)] + [prose(random.Random(0), 20)[:60]]
+    texts = [prose(random.Random(50), 10) + " " + x for x in items] + [" ".join(items), "nothing of them", None]
     table_items = spark.createDataFrame([(i, x) for i, x in enumerate(items)], "item_id long, text string")
     one, two = (rows_of(decontaminate.report(table(spark, make(texts)), table_items, automaton_words=n)) for n in (1_000_000, 25))
-    assert one == two and len(one) == 8
+    assert one == two and len(one) >= 9
 
 
 def test_decontamination_odd_rows(spark):
     items = spark.createDataFrame([(1, "one two three four five six seven eight")], "item_id long, text string")
     rows = [*ODD, (904, "One, two three four five six seven EIGHT!", "en", "web", 41), (905, "keep this. One two three four five six seven eight. and this", "en", "web", 60)]
+    long = "w x y z " * 20_000
+    rows += [(906, long + "one two three four five six seven eight " + long, "en", "web", 1)]
+    assert decontaminate.scan(with_clashes(table(spark, rows)), items)[1] == "removed_"
     out = decontaminate.decontaminate(with_clashes(table(spark, rows)), items)
     assert out.columns == [*SCHEMA_NAMES, *CLASHING]
     held = {r["doc_id"]: r for r in out.collect()}
     assert 904 not in held and squeeze(held[905]["text"]) == "keep this. . and this" and held[905]["n_chars"] == len(held[905]["text"])
+    assert squeeze(held[906]["text"]) == squeeze(long + long) and held[906]["n_chars"] == len(held[906]["text"])
     assert held[900]["text"] is None and held[901]["text"] == "" and held[903]["text"] == "word " * 30_000 and held[None]["n_chars"] == 5
     assert out.count() == len(rows) - 1
     docs = table(spark, rows)

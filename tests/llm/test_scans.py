@@ -2,8 +2,10 @@
 
 import glob
 import gzip
+import itertools
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -265,6 +267,21 @@ def test_pii_gradients():
         assert (two[0] - two[1]) / 1e-2 == pytest.approx(grad[at], rel=0.05), name
 
 
+def test_pii_sums_and_best_paths_over_all_taggings():
+    """The CRF's partition sum and Viterbi's path against the enumeration of every tagging of a short window."""
+    r = np.random.default_rng(3)
+    p = {k: v.astype(np.float64) + r.normal(0, 0.3, v.shape) for k, v in pii._start(3, 2).items()}
+    x = pii.examples(4, 40, 9)[0][:, 18:22]
+    e, moves = pii._emissions(p, pii._lstm(p, x, False)[0]), p["moves"] + pii._BARRED
+    paths = np.array(list(itertools.product(range(pii.TAGS), repeat=4)))
+    for w in range(len(x)):
+        score = p["first"][paths[:, 0]] + e[np.arange(4)[None, :], w, paths].sum(1) + moves[paths[:, :-1], paths[:, 1:]].sum(1)
+        best = paths[score.argmax()]
+        assert pii.decode(p, x[w : w + 1])[0].tolist() == best.tolist()
+        loss, _ = pii._gradients(p, x[w : w + 1], best[None, :])
+        assert loss == pytest.approx(np.logaddexp.reduce(score) - score.max(), rel=1e-3)
+
+
 def test_pii_held_out_spans(tagger):
     made, hit, want, got = pii.Generator(4242), 0, 0, 0
     for _ in range(300):
@@ -324,6 +341,23 @@ def test_text_lines():
     assert html.text_lines(None) == html.text_lines("") == []
 
 
+def test_text_lines_of_hidden_and_unclosed_parts():
+    whole = re.compile(r"(?is)<!--.*?-->|<(script|style|noscript|template|svg)\b[^>]*>.*?</\1\s*>|<!doctype[^>]*>|<head\b[^>]*>.*?</head\s*>")
+    r = random.Random(21)
+    parts = ["<!--", "-->", "<script>", "<SCRIPT src=a>", "</script >", "<style>", "</style>", "<head>", "</head>", "<header>", "<!DOCTYPE html>", "<svg", "</svg>", "text ", ">", "<p>", "\n", "é"]
+    for _ in range(2000):
+        made = "".join(r.choices(parts, k=r.randint(0, 12)))
+        assert html.shown(made) == whole.sub("\n", made), made
+
+
+def test_text_lines_of_very_long_pages():
+    began = time.process_time()
+    for part in ("<script>a", "<!-- a", "<a ", "<head>", "<svg>x</svg", "<p", "<style"):
+        assert html.text_lines(part * 150_000) is not None
+    assert html.text_lines("<script>" + "<p>x</p>" * 100_000) == ["x"] * 100_000
+    assert time.process_time() - began < 30
+
+
 def page(*lines):
     return "<body>" + "".join(f"<p>{x}</p>" for x in lines) + "</body>"
 
@@ -346,6 +380,35 @@ def test_extraction(spark):
     assert html.extract(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_extraction_matches_brute_force(spark):
+    """Whole extraction: the nearest page by every pair of a host, lines shared by the textbook alignment."""
+    r = random.Random(14)
+    rows = []
+    for i in range(60):
+        host, path = r.choice("ab"), "/".join(r.choices("pqr", k=r.randint(1, 3)))
+        menu = [f"menu {host} {k}" for k in range(3)]
+        rows.append((i, f"http://{host}.org/{path}/{i:02}", page(*menu, *[f"body {i} {k}" for k in range(r.randint(0, 4))], *r.choices(["ad one", "ad two", "foot"], k=3))))
+    lines = {i: html.text_lines(h) for i, _, h in rows}
+    parts = {i: u.split("//")[1].split("/") for i, u, _ in rows}
+
+    def alike(i, j):
+        x, y = parts[i][1:], parts[j][1:]
+        same = next((n for n, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
+        p, q = "/".join(x), "/".join(y)
+        return same, next((n for n, (a, b) in enumerate(zip(p, q)) if a != b), min(len(p), len(q)))
+
+    for x in html.extract(spark.createDataFrame(rows, PAGES).repartition(4)).collect():
+        i, near = x["page_id"], x["nearest_id"]
+        others = [j for j in lines if j != i and parts[j][0] == parts[i][0]]
+        assert alike(i, near) == max(alike(i, j) for j in others)
+        shared = longest_common(lines[i], lines[near])
+        shared = 0 if shared == len(lines[i]) else shared
+        left = x["text"].split("\n") if x["text"] else []
+        assert (x["n_lines"], x["n_shared"], len(left)) == (len(lines[i]), shared, len(lines[i]) - shared)
+        rest = iter(lines[i])
+        assert all(any(y == z for z in rest) for y in left)
+
+
 def test_nearest_by_path_over_many_partitions(spark):
     r = random.Random(9)
     rows = sorted({(r.choice(("a", "b")), "/" + "/".join(r.choices("pqrs", k=r.randint(1, 4))) + str(r.randrange(30))) for _ in range(300)})
