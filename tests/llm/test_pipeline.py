@@ -3,6 +3,8 @@
 import random
 
 import corpus_pipeline
+import pytest
+from pyspark.sql import functions as F
 from support import SCHEMA, groups, leaked, make, mixed, near_copies, prose, rejected, similar_pairs, table, words
 
 from termloom.llm.decontaminate import cut
@@ -34,6 +36,33 @@ def test_stages():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "benchmark_decontamination", "source_mixing", "sharding"]
 
 
+ODD = [
+    (None, "a null id and some plain words", "en", "web", 31), (1, None, None, None, None), (2, "", "en", "web", 0), (3, "the same row twice here", None, "web", 23), (3, "the same row twice here", None, "web", 23),
+    (4, "long words of text " * 9_000, "en", None, 171_000), (5, "long words of text " * 9_000, "en", "web", 171_000), (6, "one two three four five six seven eight", "en", "web", 40), (7, "tail one two three four five six seven eight", "en", "web", None),
+]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stage_of_odd_rows(spark, tmp_path, name):
+    spark.createDataFrame([(1, "one two three four five six seven eight"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clashes = ("shard", "removed", "nth", "mix_block", "key", "id", "t", "k", "r")
+    docs = table(spark, ODD).withColumns({c: F.lit(c) for c in clashes})
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, str(tmp_path))
+    assert out.columns == [*docs.columns, *["shard_"] * (name == "sharding")]
+    got = [(x["doc_id"] or 0, x["text"] and x["text"][:30], x["n_chars"]) for x in out.collect()]
+    row = {i: (r[0] or 0, r[1] and r[1][:30], r[4]) for i, r in enumerate(ODD)}
+    want = {
+        "quality_rules": [row[i] for i in (0, 3, 4, 5, 6, 7, 8)], "near_duplicates": [row[i] for i in (0, 1, 2, 3, 5, 7)],
+        "benchmark_decontamination": [*[row[i] for i in (0, 1, 2, 3, 4, 5, 6)], (7, "tail ", 5)], "sharding": list(row.values()),
+        "source_mixing": got,
+    }[name]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    if name == "source_mixing":
+        plain = sorted(mixed(ODD), key=str)
+        assert sorted((tuple(x)[:5] for x in out.collect()), key=str) == plain and len(plain) > 4
+    assert dict(corpus_pipeline.STAGES)[name](spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     table(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
