@@ -7,7 +7,6 @@ are tight: a lookup by id or range of ids reads the stripes that can hold it, an
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -24,8 +23,6 @@ from termloom.llm.common import quoted, shared_dir
 #: Vocabulary file of the tokenizer (base64 piece and rank on each line), and how it cuts texts into pieces.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Cut pieces whose ids are kept at hand in each worker; beyond that many it starts anew.
-PIECES = 300_000
 STRIPE_BYTES, INDEX_ROWS = 16 << 20, 1000
 
 
@@ -39,61 +36,74 @@ def tokenizer(vocabulary: str = VOCABULARY):
 
 
 #: A cut before a space is safe where no white space precedes it: then it begins a run of white space, and no piece of
-#: the pattern goes on into one. Texts with a space after white space are cut by SPACE, one by one.
+#: the pattern goes on into one. Texts with a space after white space are encoded one by one.
 RUN = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}] "
-SPACE = re.compile(r"(?<=\S)(?= \S)")
+END = r"^$|[\s\x0B\x1C-\x1F\x{85}\p{Z}]$"
+#: Bytes of text that are encoded at once; a longer text is encoded alone.
+BATCH_BYTES = 12 << 20
 
 
-class _Pieces(dict):
-    """Piece -> its token ids as int32 bytes, made when first asked for. `before` is put in front of each piece."""
-
-    def __init__(self, vocabulary: str, before: str = "") -> None:
-        super().__init__()
-        self.own, self.before = tokenizer(vocabulary), before
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= PIECES:
-            self.clear()
-        found = self[piece] = np.array(self.own.encode_ordinary(self.before + piece), np.int32).tobytes()
-        return found
+class Encoder:
+    """Token ids of many texts at once: words are cut in bulk, and the distinct ones are encoded as one text."""
 
+    def __init__(self, vocabulary: str) -> None:
+        self.own = tokenizer(vocabulary)
+        self.bytes = np.array([len(self.own.decode_single_token_bytes(t)) for t in range(self.own.n_vocab)])
 
-def _gather(raw: list[bytes], which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, number of ids) of the pieces raw[which], end to end."""
-    sizes = np.array([len(r) // 4 for r in raw], np.int64)
-    starts, own = np.cumsum(sizes) - sizes, sizes[which]
-    ends = np.cumsum(own)
-    at = np.repeat(starts[which] - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)
-    return np.frombuffer(b"".join(raw), np.int32)[at], own
+    def _one(self, text: str) -> np.ndarray:
+        return np.array(self.own.encode_ordinary(text), np.int32)
 
+    def _words(self, words: pa.StringArray) -> tuple[list[np.ndarray], np.ndarray]:
+        """(ids in pieces, number of ids of each) of every word with a space before it; token and word ends meet at the same bytes.
 
-class _Encoder:
-    def __init__(self, vocabulary: str) -> None:
-        self.first, self.later = _Pieces(vocabulary), _Pieces(vocabulary, " ")
+        Words that are empty or end in white space would run into the next one, and are encoded one by one.
+        """
+        apart = pc.match_substring_regex(words, END).to_numpy(False)
+        whole = words.filter(pa.array(~apart))
+        counts = np.zeros(len(words), np.int64)
+        parts = [np.zeros(0, np.int32)]
+        if len(whole):
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole), " ")[0].as_py()
+            parts = [self._one(" " + text)]
+            ends = np.cumsum(pc.binary_length(whole).to_numpy().astype(np.int64) + 1)
+            counts[~apart] = np.diff(np.searchsorted(np.cumsum(self.bytes[parts[0]]), ends, "right"), prepend=0)
+        if apart.any():
+            starts = (np.cumsum(counts) - counts)[apart]
+            own = [self._one(" " + w) for w in words.filter(pa.array(apart)).to_pylist()]
+            counts[apart] = [len(x) for x in own]
+            parts = [x for pair in zip(np.split(parts[0], starts), [*own, np.zeros(0, np.int32)]) for x in pair]
+        return parts, counts
 
     def ids(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
-        """(token ids of all texts end to end, number of ids of each); null texts have none.
-
-        The words of all texts are cut at once and only the distinct ones are encoded.
-        """
-        lists = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        """(token ids of all texts end to end, number of ids of each); null texts have none."""
+        texts = pc.fill_null(texts, "")
+        lists = pc.split_pattern(texts, " ")
         words, stops = lists.flatten(), lists.offsets.to_numpy()
         coded = words.dictionary_encode()
-        raw, which = [self.later[w] for w in coded.dictionary.to_pylist()], coded.indices.to_numpy().copy()
-        for at in stops[:-1]:  # the first word of a text has no space before it
-            raw.append(self.first[words[at].as_py()])
-            which[at] = len(raw) - 1
-        ids, sizes = _gather(raw, which)
-        ends = np.concatenate(([0], np.cumsum(sizes)))[stops]
-        counts = np.diff(ends)
-        odd = np.flatnonzero(pc.match_substring_regex(pc.fill_null(texts, ""), RUN).to_numpy(False))
+        which = coded.indices.to_numpy().copy()
+        parts, counts = self._words(coded.dictionary)
+        firsts = [self._one(w) for w in words.take(pa.array(stops[:-1])).to_pylist()]  # no space before these
+        which[stops[:-1]] = len(counts) + np.arange(len(firsts))
+        counts, raw = np.concatenate((counts, [len(x) for x in firsts])).astype(np.int64), np.concatenate([*parts, *firsts])
+        own = counts[which]
+        ends = np.cumsum(own)
+        ids = raw[np.repeat((np.cumsum(counts) - counts)[which] - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)]
+        ends = np.concatenate(([0], ends))[stops]
+        sizes = np.diff(ends)
+        odd = np.flatnonzero(pc.match_substring_regex(texts, RUN).to_numpy(False))
         if len(odd):
             parts = np.split(ids, ends[1:-1])
             for i in odd:
-                parts[i] = np.frombuffer(b"".join(map(self.first.__getitem__, SPACE.split(texts[i].as_py()))), np.int32)
-                counts[i] = len(parts[i])
+                parts[i] = self._one(texts[i].as_py())
+                sizes[i] = len(parts[i])
             ids = np.concatenate(parts)
-        return ids, counts
+        return ids, sizes
+
+
+@lru_cache(2)
+def encoder(vocabulary: str = VOCABULARY) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(vocabulary)
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -106,12 +116,16 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     name = Path(vocabulary).name
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _Encoder(SparkFiles.get(name))
+        own = encoder(SparkFiles.get(name))
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
+            ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy().astype(np.int64))
+            at = 0
+            while at < b.num_rows:
+                size = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH_BYTES, "right")) - at)
+                part = b.slice(at, size)
+                at += size
                 texts = part.column(1)
-                ids, counts = encoder.ids(texts)
+                ids, counts = own.ids(texts)
                 none = texts.is_null()
                 stops = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
                 sizes = pc.if_else(none, pa.scalar(None, pa.int32()), pa.array(counts.astype(np.int32)))

@@ -217,7 +217,7 @@ def test_token_ids_round_trip(spark):
 
 def test_token_ids_at_every_kind_of_gap():
     r = random.Random(66)
-    own, encoder = tokens.tokenizer(), tokens._Encoder(tokens.VOCABULARY)
+    own, encoder = tokens.tokenizer(), tokens.encoder()
     for _ in range(60):
         texts = ["".join(r.choices(["a", "word", " ", "  ", "\n", "\t", " \n", "\u3000", "\xa0", "\x1c", "\x85", "'s", "12", "é", "!", "\0", "😀"], k=r.randint(0, 14))) for _ in range(40)] + [None]
         ids, counts = encoder.ids(pa.array(texts))
