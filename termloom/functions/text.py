@@ -50,15 +50,14 @@ def java_unescape(texts: pd.Series) -> pd.Series:
 def java_escape(texts: pd.Series) -> pd.Series:
     names = {"\t": "\\t", "\n": "\\n", "\r": "\\r", "\b": "\\b", "\f": "\\f", "\\": "\\\\", '"': '\\"'}
 
-    def one(c: str) -> str:
+    def one(m: re.Match) -> str:
+        c = m[0]
         if c in names:
             return names[c]
-        if " " <= c <= "~":
-            return c
         raw = c.encode("utf-16-be", "surrogatepass")
         return "".join(f"\\u{raw[i] << 8 | raw[i + 1]:04X}" for i in range(0, len(raw), 2))
 
-    return texts.map(lambda t: "".join(map(one, t)), na_action="ignore")
+    return texts.map(lambda t: re.sub(r'[^ !#-\[\]-~]', one, t), na_action="ignore")
 
 
 _ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"))

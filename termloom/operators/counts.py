@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from termloom.functions.text import tokens
+from termloom.functions.text import STOP_WORDS, tokens
+from termloom.sources.shared import ranked, table
 
 #: Share of its support that a pattern loses with each whole window that has passed.
 DECAY = 0.1
@@ -41,11 +42,36 @@ def prune_flist(counts: DataFrame, min_freq: int = 33, pct: float = 95, name: st
 
 
 def with_ids(flist: DataFrame, name: str = "token") -> DataFrame:
-    from termloom.sources.shared import ranked
-
     return ranked(flist, [F.desc("freq"), F.col(name)], "id").withColumn("id", F.col("id") - 1)
 
 
+def term_scan(counts: DataFrame, least: int, most: int, stop: tuple[str, ...] = STOP_WORDS, name: str = "token") -> DataFrame:
+    """The terms of an index that are worth mining: least <= freq <= most, three characters or more, no stop word, the
+    first character in ASCII."""
+    first = F.ascii(F.substring(name, 1, 1))
+    return counts.where(F.col("freq").between(least, most) & (F.length(name) >= 3) & ~F.col(name).isin(list(stop)) & first.between(0, 127))
+
+
+def hash_ids(flist: DataFrame, name: str = "token") -> DataFrame:
+    """flist with an int id that depends on the token alone, but for tokens whose hashes collide: of these the most frequent
+    (then the first by name) keeps its hash and the others are hashed anew, with the number of the try. Stored.
+
+    So windows that are counted apart give a token the same id.
+    """
+    done, left, turn = None, table(flist.withColumn("id", F.hash(name))), 0
+    while True:
+        order = Window.partitionBy("id").orderBy(F.desc("freq"), name)
+        placed = left.withColumn("_n", F.row_number().over(order))
+        if done is not None:
+            placed = placed.join(done.select("id", F.lit(1).alias("_taken")), "id", "left").withColumn("_n", F.when(F.col("_taken") == 1, 2).otherwise(F.col("_n"))).drop("_taken")
+        placed = table(placed)
+        kept = placed.where("_n = 1").drop("_n").select(*flist.columns, "id")
+        done, turn = table(kept if done is None else done.unionByName(kept)), turn + 1
+        left = placed.where("_n > 1").drop("_n").withColumn("id", F.hash(name, F.lit(turn)))
+        if left.isEmpty():
+            return done
+
+
 def epoch_seconds(ts: Column) -> Column:
     """Whole seconds since 1970 of a timestamp without zone, whatever the session's zone."""
     return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from termloom.sources.shared import sized
+from termloom.sources.shared import accumulated, sized, table
 
 
 def judged(run: DataFrame, qrels: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def run_metrics(run: DataFrame, qrels: DataFrame, depth: int = 1000, k: int = 30
     rank_eff = sum of rel * (1 - judged non-relevant so far / all non-relevant) / all relevant.
     """
     totals = qrels.groupBy("qid").agg(F.sum((F.col("rel") > 0).cast("int")).alias("R"), F.sum((F.col("rel") <= 0).cast("int")).alias("NR"))
-    marked = judged(run.where(F.col("rank") <= depth), qrels).join(F.broadcast(totals), "qid")
+    marked = judged(run.where(F.col("rank") <= depth), qrels).join(sized(table(totals)), "qid")
     rel, non = (F.col("judgement") == "R").cast("int"), (F.col("judgement") == "N").cast("int")
     down = Window.partitionBy("run", "qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     marked = marked.withColumn("rel", rel).withColumn("cr", F.sum(rel).over(down)).withColumn("cn", F.sum(non).over(down))
@@ -64,12 +64,14 @@ def judged_texts(run: DataFrame, qrels: DataFrame, docs: DataFrame, k: int = 30)
 
 def rank_difference(base: DataFrame, other: DataFrame) -> DataFrame:
     """(qid, doc_id, base_rank, difference): (other rank + offset) - base rank, offset the difference of the first
-    ranks; documents that the other run lacks are infinitely far."""
-    first = lambda r, name: r.groupBy("qid").agg(F.min("rank").alias(name))
-    offset = first(base, "a").join(first(other, "b"), "qid", "left").select("qid", (F.col("a") - F.coalesce("b", "a")).alias("offset"))
-    met = base.select("qid", "doc_id", F.col("rank").alias("base_rank")).join(other.select("qid", "doc_id", F.col("rank").alias("other_rank")), ["qid", "doc_id"], "left")
+    ranks; documents that the other run lacks are infinitely far. MB001 and 1 name one topic."""
+    same = lambda r: r.withColumn("_topic", topic_number(F.col("qid").cast("string")))
+    first = lambda r, name: r.groupBy("_topic").agg(F.min("rank").alias(name))
+    base, other = same(base), same(other)
+    offset = first(base, "a").join(first(other, "b"), "_topic", "left").select("_topic", (F.col("a") - F.coalesce("b", "a")).alias("offset"))
+    met = base.select("_topic", "qid", "doc_id", F.col("rank").alias("base_rank")).join(other.select("_topic", "doc_id", F.col("rank").alias("other_rank")), ["_topic", "doc_id"], "left")
     far = F.when(F.col("other_rank").isNull(), F.lit(float("inf"))).otherwise((F.col("other_rank") + F.col("offset") - F.col("base_rank")).cast("double"))
-    return met.join(F.broadcast(offset), "qid").select("qid", "doc_id", "base_rank", far.alias("difference"))
+    return met.join(sized(table(offset)), "_topic").select("qid", "doc_id", "base_rank", far.alias("difference"))
 
 
 def topic_number(qid):
@@ -148,7 +150,7 @@ def anova(rows: DataFrame, factor: str, value: str) -> DataFrame:
 def levene(rows: DataFrame, factor: str, value: str) -> DataFrame:
     """anova() of the distances from each group's mean."""
     mean = rows.groupBy(factor).agg(F.avg(value).alias("_m"))
-    return anova(rows.join(F.broadcast(mean), factor).withColumn("_d", F.abs(F.col(value) - F.col("_m"))), factor, "_d")
+    return anova(rows.join(sized(table(mean)), factor).withColumn("_d", F.abs(F.col(value) - F.col("_m"))), factor, "_d")
 
 
 def anova_two(rows: DataFrame, a: str, b: str, value: str) -> DataFrame:
@@ -171,17 +173,21 @@ def anova_two(rows: DataFrame, a: str, b: str, value: str) -> DataFrame:
 def roc(scored: DataFrame, score: str, label: str) -> DataFrame:
     """(threshold, tpr, fpr) at every distinct score, highest first; scores are counted before they are accumulated."""
     by = scored.groupBy(F.col(score).alias("threshold")).agg(F.sum((F.col(label) > 0).cast("int")).alias("p"), F.sum((F.col(label) <= 0).cast("int")).alias("q"))
-    down = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(F.lit(0))
-    tpr, fpr = (F.sum(c).over(down) / F.sum(c).over(whole) for c in ("p", "q"))
-    return by.select("threshold", F.round(tpr, 6).alias("tpr"), F.round(fpr, 6).alias("fpr"))
+    by = table(by)
+    down = accumulated(by, [F.desc("threshold")], ["p", "q"]).crossJoin(F.broadcast(by.agg(F.sum("p").alias("ps"), F.sum("q").alias("qs"))))
+    return down.select("threshold", F.round(F.col("p_sum") / F.col("ps"), 6).alias("tpr"), F.round(F.col("q_sum") / F.col("qs"), 6).alias("fpr"))
 
 
 def area(points: DataFrame) -> DataFrame:
-    """One row, auc: trapezoids under the points of roc()."""
-    down = Window.orderBy(F.desc("threshold"))
-    x0, y0 = (F.coalesce(F.lag(c).over(down), F.lit(0.0)) for c in ("fpr", "tpr"))
-    return points.select(((F.col("fpr") - x0) * (F.col("tpr") + y0) / 2).alias("a")).agg(F.round(F.sum("a"), 4).alias("auc"))
+    """One row, auc: trapezoids under the points of roc(), within range partitions and between their ends."""
+    placed = table(points.repartitionByRange(F.desc("threshold")).withColumn("_part", F.spark_partition_id()))
+    down = Window.partitionBy("_part").orderBy(F.desc("threshold"))
+    point = F.struct("fpr", "tpr")
+    ends = placed.groupBy("_part").agg(F.max_by(point, -F.col("threshold")).alias("end"))  # a row for each task
+    ends = ends.select("_part", F.lag("end").over(Window.partitionBy(F.lit(0)).orderBy("_part")).alias("before"))
+    steps = placed.withColumn("own", F.lag(point).over(down)).join(F.broadcast(ends), "_part").withColumn("last", F.coalesce("own", "before"))
+    x0, y0 = (F.coalesce(F.col("last")[c], F.lit(0.0)) for c in ("fpr", "tpr"))
+    return steps.select(((F.col("fpr") - x0) * (F.col("tpr") + y0) / 2).alias("a")).agg(F.round(F.sum("a"), 4).alias("auc"))
 
 
 def crosstab(rows: DataFrame, a: str, b: str, value: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from termloom.operators.graph import pagerank_dense
-from termloom.sources.shared import sized
+from termloom.sources.shared import sized, table
 
 LAMBDA, SMOOTHER, MIN_SIZE = 0.33, 10_000.0, 2
 
@@ -53,7 +53,7 @@ def idf_increase(top_docs: DataFrame, posted: DataFrame, terms: DataFrame, df: D
     each = each.join(wide, ["qid", "doc_id"], "left_semi")
     size = wide.groupBy("qid").agg(F.count("*").alias("n"))
     tf = each.groupBy("qid", "term").agg(F.count("*").alias("tf")).join(sized(terms.select("qid", "term")), ["qid", "term"], "left_anti")
-    scored = tf.join(F.broadcast(size), "qid").join(df.select("term", "df"), "term")
+    scored = tf.join(sized(table(size)), "qid").join(df.select("term", "df"), "term")
     return scored.select("qid", "term", F.round(F.log((F.col("tf") / F.col("n")) / (F.col("df") / F.lit(n_docs))), 6).alias("score"))
 
 
@@ -295,3 +295,15 @@ def expanded(terms: DataFrame, chosen: DataFrame) -> DataFrame:
 def keep_matching(scored: DataFrame, original: DataFrame) -> DataFrame:
     """Filtering mode: of an expanded run, the documents that match the original query as well."""
     return scored.join(original.select("qid", "doc_id").distinct(), ["qid", "doc_id"], "left_semi")
+
+
+def filtered_scores(own: DataFrame, more: DataFrame, idf: DataFrame) -> DataFrame:
+    """(qid, doc_id, score) of the mode in which a term added to a query counts beside each of the query's own terms.
+
+    own and more are the matches of the query's terms and of the added ones. A document must hold a term of the query;
+    every pair of a query term and an added term that it holds is one more clause, which scores both.
+    """
+    weighed = sized(table(idf.select("term", "idf")))
+    side = lambda met, s, n: met.join(weighed, "term").groupBy("qid", "doc_id").agg(F.sum(F.col("qw") * F.col("idf")).alias(s), F.count("*").alias(n))
+    met = side(own, "s", "n").join(side(more, "t", "m"), ["qid", "doc_id"], "left").na.fill(0, ["t", "m"])
+    return met.select("qid", "doc_id", F.round(F.col("s") * (1 + F.col("m")) + F.col("n") * F.col("t"), 6).alias("score"))

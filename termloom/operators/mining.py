@@ -154,3 +154,68 @@ def sliced(transactions: DataFrame, order: str, per_slice: int, min_support: int
     slice_of = F.substring_index(F.element_at("items", 1), ":", 1)
     plain = F.transform("items", lambda x: F.substr(x, F.length(slice_of) + 2))
     return found.select(slice_of.cast("long").alias("slice"), plain.alias("items"), "support")
+
+
+def mine_windows(transactions: DataFrame, seconds: str, window: int, step: int | None = None, min_support: int = MIN_SUPPORT, k: int = TOP_K, min_freq: int = 33, pct: float = 95) -> DataFrame:
+    """(window_start, item, rank, items, support): the whole job over all windows of a set of transactions (seconds, items).
+
+    Every window [n * step, n * step + window) that holds a transaction is mined apart: its items are counted and pruned
+    to min_freq <= frequency < the pct-th percentile of its frequencies (see counts.prune_flist), closed sets are mined
+    to the support and the k best of each item ranked. One run mines all windows, as items that carry their window
+    never meet those of another.
+    """
+    step = step or window
+    last = F.floor(F.col(seconds) / step) * step
+    starts = F.filter(F.sequence((last - (window - 1) // step * step).cast("long"), last.cast("long"), F.lit(step).cast("long")), lambda w: w + window > F.col(seconds))
+    rows = table(transactions.withColumn("_t", F.monotonically_increasing_id()).select("_t", F.explode(starts).alias("w"), "items"))
+    each = rows.select("_t", "w", F.explode(F.array_distinct("items")).alias("i"))
+    counts = table(each.groupBy("w", "i").agg(F.count("*").alias("freq")))
+    kept = counts.where(F.col("freq") >= min_freq)
+    if pct < 100:
+        up = Window.partitionBy("w").orderBy("freq").rowsBetween(Window.unboundedPreceding, 0)
+        histogram = counts.groupBy("w", "freq").agg(F.count("*").alias("here"))
+        placed = histogram.select("w", "freq", F.sum("here").over(up).alias("seen"), F.sum("here").over(Window.partitionBy("w")).alias("n"))
+        m = F.least(F.floor((F.col("n") - 1) * F.lit(pct) / 100 + 1 + 0.5), F.col("n") - 1)
+        kept = kept.join(sized(table(placed.where(F.col("seen") > m).groupBy("w").agg(F.min("freq").alias("limit")))), "w").where("freq < limit")
+    often = each.join(sized(table(kept.select("w", "i"))), ["w", "i"], "left_semi")
+    own = often.groupBy("w", "_t").agg(F.collect_list(F.concat(F.col("w").cast("string"), F.lit(":"), F.col("i"))).alias("items"))
+    best = top_patterns(closed(frequent(own, min_support)), k)
+    best = best.withColumn("_at", F.length(F.substring_index("item", ":", 1)))
+    bare = lambda x: F.substring(x, F.col("_at") + 2, F.length(x))
+    plain = best.select(F.substring_index("item", ":", 1).cast("long").alias("window_start"), bare(F.col("item")).alias("bare"), "rank", F.transform(F.split("items", " "), bare).alias("parts"), "support")
+    return plain.select("window_start", F.col("bare").alias("item"), "rank", key("parts").alias("items"), "support")
+
+
+def unigram_range(patterns: DataFrame) -> DataFrame:
+    """Patterns without the single items that are too rare or too common: support outside [3 + 5 %, 95 %] of the greatest
+    of a single item."""
+    single = F.size("items") == 1
+    most = patterns.where(single).agg(F.max("support").alias("most"))
+    fits = F.col("support").between(3 + 0.05 * F.col("most"), 0.95 * F.col("most"))
+    return patterns.crossJoin(F.broadcast(most)).where(~single | fits).drop("most")
+
+
+def language_votes(rows: DataFrame, items: str, lang: str) -> DataFrame:
+    """(item, lang, votes): in how many rows (items, lang) of each language an item is."""
+    return rows.select(F.explode(F.array_distinct(items)).alias("item"), F.col(lang).alias("lang")).groupBy("item", "lang").agg(F.count("*").alias("votes"))
+
+
+def with_metadata(best: DataFrame, votes: DataFrame) -> DataFrame:
+    """Top patterns (item, rank, items, support) with the language votes of their items as patterns that begin with a
+    blank and have rank 0."""
+    said = votes.join(best.select("item").distinct(), "item", "left_semi")
+    return best.unionByName(said.select("item", F.lit(0).alias("rank"), F.concat(F.lit(" lang="), "lang").alias("items"), F.col("votes").alias("support")))
+
+
+def split_metadata(patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(patterns of items, patterns that are metadata)."""
+    meta = F.col("items").startswith(" ")
+    return patterns.where(~meta), patterns.where(meta)
+
+
+def index_windows(windows: list[tuple[int, int, DataFrame]]) -> DataFrame:
+    """The index after a row of windows (start, end, patterns), each built upon the one before. Stored."""
+    index = None
+    for start, end, patterns in windows:
+        index = table(itemset_index(patterns, start, end, index))
+    return index

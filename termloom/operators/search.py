@@ -53,7 +53,7 @@ def matches(posted: DataFrame, terms: DataFrame, mode: str = "or", absent: str |
         met = met.join(posted.where(F.col("term") == absent).select("doc_id").distinct(), "doc_id", "left_anti")
     if mode == "and":
         need = terms.groupBy("qid").agg(F.count("*").alias("need"))
-        whole = met.groupBy("qid", "doc_id").agg(F.count("*").alias("have")).join(F.broadcast(need), "qid").where("have = need").select("qid", "doc_id")
+        whole = met.groupBy("qid", "doc_id").agg(F.count("*").alias("have")).join(sized(table(need)), "qid").where("have = need").select("qid", "doc_id")
         met = met.join(whole, ["qid", "doc_id"], "left_semi")
     return met
 
@@ -75,6 +75,52 @@ def bm25(met: DataFrame, idf: DataFrame, k1: float = K1, b: float = B, average:
     return scored.select("qid", "doc_id", F.round("score", 6).alias("score"))
 
 
+def subset_boosted(met: DataFrame, idf: DataFrame, terms: DataFrame, by: str = "idf") -> DataFrame:
+    """(qid, doc_id, score): every subset of the query's terms that a document holds counts with its share of the query.
+
+    A subset S scores the sum of qw * idf of its terms, boosted by w(S) / w(query), w being qw * idf or, by `length`, qw;
+    scores are divided by the number of subsets of the query. For m terms held with weights w and scores s the sum over
+    all subsets is 2^(m-2) * (sum(w * s) + sum(w) * sum(s)), so no subset is enumerated.
+    """
+    s = F.col("qw") * F.col("idf")
+    w = s if by == "idf" else F.col("qw")
+    weighed = sized(table(idf.select("term", "idf")))
+    whole = terms.join(weighed, "term").groupBy("qid").agg(F.sum(w).alias("all"), F.count("*").cast("double").alias("n"))
+    held = met.join(weighed, "term").groupBy("qid", "doc_id").agg(F.sum(s * w).alias("sw"), F.sum(s).alias("s"), F.sum(w).alias("w"), F.count("*").cast("double").alias("m"))
+    score = F.pow(F.lit(2.0), F.col("m") - 2) * (F.col("sw") + F.col("w") * F.col("s")) / F.col("all") / (F.pow(F.lit(2.0), F.col("n")) - 1)
+    return held.join(sized(table(whole)), "qid").select("qid", "doc_id", F.round(score, 6).alias("score"))
+
+
+def stemmed(posted: DataFrame, stems: DataFrame) -> DataFrame:
+    """Postings with terms as their stems (token, stem), counts of one stem added up."""
+    rows = posted.join(sized(stems.select(F.col("token").alias("term"), "stem")), "term")
+    return rows.groupBy("doc_id", "len", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
+
+
+def stemmed_terms(terms: DataFrame, stems: DataFrame) -> DataFrame:
+    """Query terms as their stems, weights of one stem added up; a term that no document has keeps its form. Stored."""
+    rows = terms.join(sized(stems.select(F.col("token").alias("term"), "stem")), "term", "left")
+    return table(rows.groupBy("qid", F.coalesce("stem", "term").alias("term")).agg(F.sum("qw").alias("qw")))
+
+
+def of_language(run: DataFrame, languages: DataFrame, language: str) -> DataFrame:
+    """Rows of a run whose document (doc_id, lang) is of this language, ranked anew."""
+    held = run.join(languages.where(F.col("lang") == language).select("doc_id"), "doc_id", "left_semi")
+    return held.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank")))
+
+
+def closed_hits(hits: DataFrame) -> DataFrame:
+    """The hits of a query that no other hit of it contains: the leaves of the tree of its hits.
+
+    Hits meet on one item of the smaller; a query has at most RESULTS of them.
+    """
+    parts = hits.withColumn("parts", F.split("items", " "))
+    small = parts.select("qid", "items", "parts", F.element_at("parts", 1).alias("item"))
+    big = parts.select("qid", F.col("parts").alias("more"), F.explode("parts").alias("item"))
+    inside = small.join(big, ["qid", "item"]).where((F.size("more") > F.size("parts")) & (F.size(F.array_except("parts", "more")) == 0))
+    return hits.join(inside.select("qid", "items").distinct(), ["qid", "items"], "left_anti")
+
+
 def bm25_grid(met: DataFrame, idf: DataFrame, bs: list[float], k1s: list[float], average: float) -> DataFrame:
     """(b, k1, qid, doc_id, score) of every parameter pair in one pass over the matches; tf and length count here.
 
@@ -107,7 +153,7 @@ def related_itemsets(patterns: DataFrame, terms: DataFrame, n: int = RESULTS, k:
     index = table(patterns.select(F.concat_ws(" ", "items").alias("items"), "support", F.col("items").alias("parts")))
     n_sets = index.count()
     each = index.select("items", "support", F.explode("parts").alias("term"))
-    df = each.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    df = each.join(sized(table(terms.select("term").distinct())), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     weights = table(terms.join(df, "term").select("qid", "term", (F.col("qw") * clarity_idf(F.col("df"), F.lit(n_sets))).alias("w")))
     hits = each.join(sized(weights), "term").groupBy("qid", "items", "support").agg(F.round(F.sum("w"), 6).alias("score"))
     best = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("support"), F.desc("items"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions.text import tokens
 from termloom.operators import graph, mining
-from termloom.operators.counts import doc_freq, prune_flist
+from termloom.operators.counts import doc_freq, epoch_seconds, prune_flist
 from termloom.plans.common import SUPPORT, events, load, mined, part_baskets, sql_mined, tok
 from termloom.sources.shared import sized, table
 
@@ -55,17 +55,52 @@ def event_type_itemsets(spark, sf):
     return named(mining.frequent(mining.baskets(rows, "basket", "event_type"), 3))
 
 
-def text_itemsets_pruned(spark, sf):
-    """Sets of tokens that at least 0.5 % of the lines hold; a line is a message."""
-    lines = load(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    lines = table(lines.select(F.struct("doc_id", "at").alias("line"), F.array_distinct(tokens(F.col("line"))).alias("t")))
-    least = max(1, -(-lines.count() // 200))
+def text_itemsets_pruned(spark, sf, share=50):
+    """Sets of tokens that at least one in `share` of the messages holds. A line is a message; equal messages count once."""
+    lines = load(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("line")).distinct()
+    lines = table(lines.select(F.monotonically_increasing_id().alias("line"), F.array_distinct(tokens(F.col("line"))).alias("t")))
+    least = max(1, -(-lines.count() // share))
     each = lines.select("line", F.explode("t").alias("i"))
     often = table(prune_flist(each.groupBy("i").agg(F.count("*").alias("freq")), least, 100, "i").select("i"))
     kept = each.join(sized(often), "i", "left_semi")
     return named(mining.frequent(mining.baskets(kept, "line", "i"), least))
 
 
+WINDOW, STEP, WINDOW_FREQ, WINDOW_PCT = 730 * 86_400, 365 * 86_400, 3, 99.9
+
+
+def mined_windows(spark, sf):
+    """Baskets of parts by the time of their order, in windows of two years that begin every year."""
+    times = load(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), epoch_seconds(F.col("o_orderdate")).alias("sec"))
+    return mining.mine_windows(part_baskets(spark, sf).join(times, "l_orderkey"), "sec", WINDOW, STEP, SUPPORT, 20, WINDOW_FREQ, WINDOW_PCT)
+
+
+def unigram_range(spark, sf):
+    return named(mining.unigram_range(mined(spark, sf)))
+
+
+def language_votes(spark, sf):
+    docs = load(spark, sf, "documents").select(tokens(F.col("text")).alias("t"), "lang")
+    return mining.language_votes(docs, "t", "lang")
+
+
+def patterns_with_metadata(spark, sf):
+    """Top event types of each user-day with votes of the weekdays they fall on, split off again and counted."""
+    rows = events(spark, sf).withColumn("basket", F.struct("user_id", F.floor(F.col("sec") / 86_400).alias("day")))
+    sets = mining.baskets(rows, "basket", "event_type").select("items", F.pmod("basket.day", F.lit(7)).cast("string").alias("lang"))
+    best = mining.top_patterns(mining.closed(mining.frequent(sets, 3)), 10)
+    plain, meta = mining.split_metadata(mining.with_metadata(best, mining.language_votes(sets, "items", "lang")))
+    return plain.unionByName(meta)
+
+
+def index_windows(spark, sf):
+    """The index of the patterns of orders before a date, then of those from it on, built upon the first."""
+    items = load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey").join(load(spark, sf, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey")
+    early = F.col("o_orderdate") < F.lit(CUT).cast("timestamp_ntz")
+    old, new = (mining.frequent(mining.baskets(items.where(c), "o_orderkey", "l_partkey"), SUPPORT) for c in (early, ~early))
+    return mining.index_windows([(0, 1, old), (1, 2, new)])
+
+
 def fold_decayed_patterns(spark, sf):
     items = load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey").join(load(spark, sf, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey")
     early = F.col("o_orderdate") < F.lit(CUT).cast("timestamp_ntz")
@@ -104,7 +139,7 @@ def vocabulary_mapped(spark, sf):
     return each.groupBy("doc_id").agg(F.concat_ws(" ", F.transform(F.sort_array(F.collect_list("id")), lambda i: i.cast("string"))).alias("ids"))
 
 
-QUERIES = {f.__name__: f for f in (basket_frequent_itemsets, basket_closed_itemsets, basket_maximal_itemsets, basket_topk_patterns, basket_nmi_patterns, basket_rules, basket_sliced_itemsets, itemset_index, event_type_itemsets, text_itemsets_pruned, fold_decayed_patterns, cooccurrence, pattern_terms, pagerank_parts, cosine_to_label_mean, vocabulary_mapped)}
+QUERIES = {f.__name__: f for f in (basket_frequent_itemsets, basket_closed_itemsets, basket_maximal_itemsets, basket_topk_patterns, basket_nmi_patterns, basket_rules, basket_sliced_itemsets, itemset_index, event_type_itemsets, text_itemsets_pruned, mined_windows, unigram_range, language_votes, patterns_with_metadata, index_windows, fold_decayed_patterns, cooccurrence, pattern_terms, pagerank_parts, cosine_to_label_mean, vocabulary_mapped)}
 
 _M = f"WITH RECURSIVE {sql_mined()}"
 _ABOVE = "above AS (SELECT sub, max(support) AS most FROM (SELECT list_filter(items, lambda x: x <> i) AS sub, support FROM (SELECT items, support, unnest(items) AS i FROM mined WHERE len(items) > 1)) GROUP BY sub)"
@@ -135,13 +170,22 @@ ORACLES = {
         FROM p JOIN mined a ON a.items = ante JOIN mined b ON b.items = [c] WHERE p.support / a.support >= {CONFIDENCE}""",
     "basket_sliced_itemsets": f"""WITH RECURSIVE a AS (SELECT DISTINCT l_orderkey // 10000 AS slice, l_orderkey AS o, l_partkey::VARCHAR AS i FROM lineitem), z AS (SELECT slice, count(DISTINCT o) AS n FROM a GROUP BY slice),
         k AS (SELECT slice, i FROM a JOIN z USING (slice) GROUP BY slice, i, n HAVING count(*) >= {SUPPORT} AND count(*) <= n * 0.95), e AS (SELECT a.* FROM a JOIN k USING (slice, i)),
-        s AS (SELECT slice, o, [i] AS items, i AS last FROM e UNION ALL SELECT s.slice, s.o, list_append(s.items, e.i), e.i FROM s JOIN e ON s.o = e.o AND e.i > s.last WHERE len(s.items) < 3)
+        s AS (SELECT slice, o, [i] AS items, i AS last FROM e UNION ALL SELECT s.slice, s.o, list_append(s.items, e.i), e.i FROM s JOIN e ON s.o = e.o AND e.i > s.last)
         SELECT slice, array_to_string(items, ' ') AS items, count(*) AS support FROM s GROUP BY slice, s.items HAVING count(*) >= {SUPPORT}""",
     "itemset_index": f"{_M} SELECT md5(array_to_string(items, ' ')) AS id, array_to_string(items, ' ') AS items, support, 0::BIGINT AS window_start, 86400::BIGINT AS window_end, row_number() OVER (ORDER BY support DESC, len(mined.items) DESC, array_to_string(mined.items, ' ')) AS rank FROM mined",
     "event_type_itemsets": f"WITH RECURSIVE {sql_mined('SELECT DISTINCT (user_id, floor(epoch_us(ts) / 86400000000)) AS o, event_type AS i FROM events', 3)} SELECT {_name}, support FROM mined",
-    "text_itemsets_pruned": f"""WITH RECURSIVE l AS MATERIALIZED (SELECT row_number() OVER () AS o, x FROM (SELECT unnest(string_split(text, chr(10))) AS x FROM documents)), n AS (SELECT count(*) AS n FROM l),
-        d AS MATERIALIZED (SELECT o, unnest(list_distinct({tok("x")})) AS i FROM l), v AS (SELECT i FROM d, n GROUP BY i, n HAVING count(*) >= 0.04 * n AND count(*) < 0.08 * n),
-        {sql_mined("SELECT o, i FROM d JOIN v USING (i)", "(SELECT ceil(n / 200) FROM n)")} SELECT {_name}, support FROM mined""",
+    "mined_windows": f"""WITH RECURSIVE o AS (SELECT o_orderkey, floor(epoch_us(o_orderdate) / 1000000)::BIGINT AS sec FROM orders), wo AS (SELECT o_orderkey, sec // {STEP} * {STEP} - k * {STEP} AS w FROM o, range({WINDOW // STEP}) AS r(k)),
+        a AS (SELECT DISTINCT w, l_orderkey AS o, l_partkey::VARCHAR AS i FROM lineitem JOIN wo ON l_orderkey = o_orderkey), f AS (SELECT w, i, count(*) AS freq FROM a GROUP BY ALL), s AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY freq) - 1 AS ix, count(*) OVER (PARTITION BY w) AS n FROM f),
+        lim AS (SELECT w, min(freq) AS lim FROM s WHERE ix = least(floor((n - 1) * {WINDOW_PCT} / 100 + 1.5), n - 1) GROUP BY w), k AS (SELECT w, i FROM f JOIN lim USING (w) WHERE freq >= {WINDOW_FREQ} AND freq < lim), e AS (SELECT a.* FROM a JOIN k USING (w, i)),
+        sub AS (SELECT w, o, [i] AS items, i AS last FROM e UNION ALL SELECT sub.w, sub.o, list_append(sub.items, e.i), e.i FROM sub JOIN e ON sub.w = e.w AND sub.o = e.o AND e.i > sub.last), mined AS (SELECT w, items, count(*) AS support FROM sub GROUP BY w, items HAVING count(*) >= {SUPPORT}),
+        above AS (SELECT w, part, max(support) AS most FROM (SELECT w, list_filter(items, lambda x: x <> i) AS part, support FROM (SELECT w, items, support, unnest(items) AS i FROM mined WHERE len(items) > 1)) GROUP BY w, part), closed AS (SELECT m.w, items, support FROM mined m LEFT JOIN above b ON m.w = b.w AND items = part WHERE most IS NULL OR most < support),
+        each AS (SELECT w, unnest(items) AS item, array_to_string(items, ' ') AS items, len(items) AS n, support FROM closed) SELECT w AS window_start, item, rank, items, support FROM (SELECT *, row_number() OVER (PARTITION BY w, item ORDER BY support DESC, n DESC, items DESC)::INT AS rank FROM each) WHERE rank <= 20""",
+    "unigram_range": f"{_M}, t AS (SELECT max(support) AS most FROM mined WHERE len(mined.items) = 1) SELECT {_name}, support FROM mined, t WHERE len(mined.items) > 1 OR support BETWEEN 3 + 0.05 * most AND 0.95 * most",
+    "language_votes": f"SELECT item, lang, count(*) AS votes FROM (SELECT lang, unnest(list_distinct({tok()})) AS item FROM documents) GROUP BY ALL",
+    "patterns_with_metadata": f"""WITH RECURSIVE {sql_mined('SELECT DISTINCT (user_id, floor(epoch_us(ts) / 86400000000)) AS o, event_type AS i FROM events', 3)}, {_CLOSED}, e AS (SELECT unnest(items) AS item, array_to_string(items, ' ') AS items, len(items) AS n, support FROM closed), b AS (SELECT item, rank, items, support FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY support DESC, n DESC, items DESC)::INT AS rank FROM e) WHERE rank <= 10)
+        SELECT * FROM b UNION ALL SELECT i, 0, ' lang=' || (d % 7)::VARCHAR, count(*) FROM (SELECT DISTINCT user_id, floor(epoch_us(ts) / 86400000000)::BIGINT AS d, event_type AS i FROM events) WHERE i IN (SELECT item FROM b) GROUP BY ALL""",
+    "index_windows": f"""WITH RECURSIVE {sql_mined(f"{_order_items} < TIMESTAMP '{CUT}'", name="old")}, {sql_mined(f"{_order_items} >= TIMESTAMP '{CUT}'", name="new")}, u AS (SELECT items, support, 1::BIGINT AS window_start, 2::BIGINT AS window_end FROM new UNION ALL SELECT items, support, 0, 1 FROM old WHERE items NOT IN (SELECT items FROM new))
+        SELECT md5(array_to_string(items, ' ')) AS id, array_to_string(items, ' ') AS items, support, window_start, window_end, row_number() OVER (ORDER BY support DESC, len(u.items) DESC, array_to_string(u.items, ' ')) AS rank FROM u""",
     "fold_decayed_patterns": f"""WITH RECURSIVE {sql_mined(f"{_order_items} < TIMESTAMP '{CUT}'", name="old")}, {sql_mined(f"{_order_items} >= TIMESTAMP '{CUT}'", name="new")},
         faded AS (SELECT items, round(support - 2 * 0.1::DOUBLE * support)::BIGINT AS s FROM old WHERE round(support - 2 * 0.1::DOUBLE * support) > 0),
         h AS (SELECT n.items, max(s) AS s FROM new n JOIN (SELECT items AS big, s, unnest(items) AS i FROM faded) f ON f.i = n.items[1] AND list_has_all(big, n.items) GROUP BY n.items)

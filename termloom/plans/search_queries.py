@@ -4,19 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from termloom.functions.text import stem_table
 from termloom.operators import evaluate, expand, search
 from termloom.operators.counts import doc_freq
 from termloom.plans.common import SQL_DOCS, SQL_RELATED, SQL_TOPICS, load, mined, pair_terms, posted, topic_terms
-from termloom.sources.shared import table
+from termloom.sources.shared import sized, table
 
-#: The grid's values, and those of its SQL.
-GRID_BS = [0.0, 0.03, 0.07, 0.12, 1.0, 0.5, 0.3, 0.7, 0.2, 0.6, 0.1, 0.8, 0.9]
-GRID_K1S = [0.0, 0.66, 0.77, 0.9, 1.0, 1.1, 1.3, 1.5, 1000.0, 0.25, 0.05, 1.2, 2.0, 7.0, 33.0, 99.0]
-BS, K1S = [0.0, 0.3, 0.75], [0.0, 0.6, 1.2, 2.0]
+#: The grid's values.
+BS = [0.0, 0.03, 0.07, 0.12, 1.0, 0.5, 0.3, 0.7, 0.2, 0.6, 0.1, 0.8, 0.9]
+K1S = [0.0, 0.66, 0.77, 0.9, 1.0, 1.1, 1.3, 1.5, 1000.0, 0.25, 0.05, 1.2, 2.0, 7.0, 33.0, 99.0]
 #: Rows of a topic in a query that ends with its run; runs that are fused, judged or compared have search.RESULTS.
 TOP = 100
-#: Of the SQL alone, in which a topic is asked a day later for each item id, a document written an hour later for each document id.
-HOURS = 24
 
 
 def posting_table(spark, sf):
@@ -62,7 +60,7 @@ def bm25_padded(spark, sf):
 
 def bm25_grid(spark, sf):
     terms, rows, idf = _ready(spark, sf)
-    return search.top(search.bm25_grid(search.matches(rows, terms), idf, GRID_BS, GRID_K1S, 250.0), 10, ("b", "k1", "qid"))
+    return search.top(search.bm25_grid(search.matches(rows, terms), idf, BS, K1S, 250.0), 10, ("b", "k1", "qid"))
 
 
 def search_time_cut(spark, sf):
@@ -118,13 +116,19 @@ def expand_kl(spark, sf):
     return expand.divergence(hits, terms, df, _length(df)).withColumn("score", F.round("score", 6))
 
 
+def _feedback(spark, sf, first):
+    """What feedback needs, from one stored table of postings: topics, postings, idf, matches, the best documents' terms."""
+    terms, post = topic_terms(spark, sf), table(posting_table(spark, sf))
+    idf = table(search.idf_table(post, load(spark, sf, "documents").count()))
+    met = table(search.matches(post, terms))
+    hits = table(search.top(search.bm25(met, idf), first))
+    near = table(post.join(sized(table(hits.select("doc_id").distinct())), "doc_id", "left_semi"))
+    return terms, post, idf, met, hits, near
+
+
 def expand_idf_increase(spark, sf):
-    terms, rows, idf = _ready(spark, sf)
-    docs = load(spark, sf, "documents")
-    hits = table(search.top(search.bm25(search.matches(rows, terms), idf), 10))
-    near = table(search.postings(docs.join(F.broadcast(hits.select("doc_id").distinct()), "doc_id", "left_semi")))
-    df = doc_freq(docs).select(F.col("token").alias("term"), F.col("freq").alias("df"))
-    return expand.idf_increase(hits, near, terms, df, docs.count())
+    terms, _, idf, _, hits, near = _feedback(spark, sf, 10)
+    return expand.idf_increase(hits, near, terms, idf, load(spark, sf, "documents").count())
 
 
 def _model(fn, columns="term string, score double"):
@@ -140,14 +144,10 @@ CLUSTERS = "cluster int, term string, score double"
 
 def expand_clusters_results(spark, sf):
     """Terms of the best 30 documents of each topic, clustered by document."""
-    terms, rows, idf = _ready(spark, sf)
-    docs = load(spark, sf, "documents")
-    hits = table(search.top(search.bm25(search.matches(rows, terms), idf), 30))
-    near = table(search.postings(docs.join(F.broadcast(hits.select("doc_id").distinct()), "doc_id", "left_semi")))
+    terms, _, idf, _, hits, near = _feedback(spark, sf, 30)
     sets = near.groupBy("doc_id").agg(F.concat_ws(" ", F.sort_array(F.collect_list("term"))).alias("items"))
     related = hits.join(sets, "doc_id").select("qid", "items", F.lit(1).cast("long").alias("support"), "rank")
-    df = table(doc_freq(docs).select(F.col("token").alias("term"), F.col("freq").alias("df")))
-    return expand.per_query(related, terms, df, _length(df), lambda h: expand.cluster_patterns(h, False), CLUSTERS, 30)
+    return expand.per_query(related, terms, idf, _length(idf), lambda h: expand.cluster_patterns(h, False), CLUSTERS, 30)
 
 
 def expanded_terms(spark, sf):
@@ -156,16 +156,59 @@ def expanded_terms(spark, sf):
     return expand.choose_terms(one, terms, 3)
 
 
+def _expansion(spark, sf, per_term=2):
+    terms, post, idf, met, hits, near = _feedback(spark, sf, 10)
+    scores = expand.idf_increase(hits, near, terms, idf, load(spark, sf, "documents").count()).withColumn("cluster", F.lit(0))
+    return terms, post, idf, met, table(expand.choose_terms(scores, terms, per_term))
+
+
 def expanded_run(spark, sf):
     """Topics expanded by pseudo-relevance feedback, run over the documents, kept to those that match the topic itself."""
+    terms, post, idf, met, chosen = _expansion(spark, sf)
+    run = search.bm25(search.matches(post, table(expand.expanded(terms, chosen))), idf)
+    return search.top(expand.keep_matching(run, met), TOP)
+
+
+def filtered_run(spark, sf):
+    """The same expansion in the mode in which an added term counts beside each of the topic's own terms."""
+    terms, post, idf, met, chosen = _expansion(spark, sf)
+    more = search.matches(post, table(chosen.select("qid", "term", F.col("weight").alias("qw"))))
+    return search.top(expand.filtered_scores(met, more, idf), TOP)
+
+
+def expanded_levels(spark, sf):
+    """Two levels of expansion of every frequent pair over the related itemsets: the terms chosen on the first level ask again."""
+    hits, terms, df, patterns = _related(spark, sf)
+    wide = table(expand.expanded(terms, expand.choose_terms(expand.frequency(hits, terms, 20).withColumn("cluster", F.lit(0)), terms, 1)))
+    return expand.frequency(search.related_itemsets(patterns, wide), wide, 20)
+
+
+def closed_hits(spark, sf):
+    return search.closed_hits(_related(spark, sf)[0]).select("qid", "items", "support", "rank")
+
+
+def bm25_subsets_idf(spark, sf):
+    terms, rows, idf = _ready(spark, sf)
+    return search.top(search.subset_boosted(search.matches(rows, terms), idf, terms), TOP)
+
+
+def bm25_subsets_length(spark, sf):
     terms, rows, idf = _ready(spark, sf)
+    return search.top(search.subset_boosted(search.matches(rows, terms), idf, terms, "length"), TOP)
+
+
+def bm25_stemmed(spark, sf):
+    """Topics and documents by the stems of their terms."""
     docs = load(spark, sf, "documents")
-    met = table(search.matches(rows, terms))
-    scores = expand_idf_increase(spark, sf).withColumn("cluster", F.lit(0))
-    wide = table(expand.expanded(terms, expand.choose_terms(scores, terms, 2)))
-    more = posted(spark, sf, wide)
-    run = search.bm25(search.matches(more, wide), table(search.idf_table(more, docs.count())))
-    return search.top(expand.keep_matching(run, met), TOP)
+    post = table(search.postings(docs))
+    stems = table(stem_table(post.select(F.col("term").alias("token"))))
+    terms = search.stemmed_terms(topic_terms(spark, sf), stems)
+    rows = table(search.stemmed(post, stems).join(sized(table(terms.select("term").distinct())), "term", "left_semi"))
+    return search.top(search.bm25(search.matches(rows, terms), table(search.idf_table(rows, docs.count()))), TOP)
+
+
+def english_run(spark, sf):
+    return search.of_language(_bm25(spark, sf), load(spark, sf, "documents"), "en").select("qid", "doc_id", "score", "rank")
 
 
 # -- evaluation: the topics' runs, judged by document quality ------------------------------------------------------
@@ -252,7 +295,7 @@ def crosstab_quality(spark, sf):
     return evaluate.crosstab(_judged_docs(spark, sf), "lang", "source", "quality")
 
 
-QUERIES = {f.__name__: f for f in (posting_table, idf_table, bm25_or, bm25_and, bm25_powerset, bm25_lengths, bm25_padded, bm25_grid, search_time_cut, fuzzy_terms, related_itemsets_rrf, fused_runs, expand_topn, expand_freq, expand_kl, expand_idf_increase, expand_clusters_results, expanded_terms, expanded_run, run_metrics, top_runs, append_judgement, unjudged, judged_texts, rank_diff, truncate_rank, truncate_score, normalised_run, paired_t, anova_by_lang, levene_by_lang, anova_two_factors, roc_points, roc_area, crosstab_quality)}
+QUERIES = {f.__name__: f for f in (posting_table, idf_table, bm25_or, bm25_and, bm25_powerset, bm25_lengths, bm25_padded, bm25_grid, search_time_cut, fuzzy_terms, related_itemsets_rrf, fused_runs, expand_topn, expand_freq, expand_kl, expand_idf_increase, expand_clusters_results, expanded_terms, expanded_run, filtered_run, expanded_levels, closed_hits, bm25_subsets_idf, bm25_subsets_length, bm25_stemmed, english_run, run_metrics, top_runs, append_judgement, unjudged, judged_texts, rank_diff, truncate_rank, truncate_score, normalised_run, paired_t, anova_by_lang, levene_by_lang, anova_two_factors, roc_points, roc_area, crosstab_quality)}
 QUERIES |= {
     "expand_cond_prob": _model(expand.conditional), "expand_markov": _model(expand.markov), "expand_svd_patterns": _model(expand.svd_patterns), "expand_svd_terms": _model(expand.svd_terms),
     "expand_entropy": _model(expand.entropy), "expand_pagerank_terms": _model(expand.pagerank_terms), "expand_pagerank_patterns": _model(expand.pagerank_patterns),
@@ -264,7 +307,7 @@ _best = lambda rows, n=TOP: f"SELECT qid, doc_id, score, rank FROM (SELECT *, ro
 _plain = "SELECT qid, doc_id, round(sum(qw * 1.0 * idf / 1.0), 6) AS score FROM m GROUP BY ALL"
 _wt = lambda b: f"(tf / ((1 - {b}) + {b} * len / 250.0::DOUBLE))"
 _long = f"SELECT qid, doc_id, round(sum(qw * {_wt('0.75::DOUBLE')} * idf / (1.2::DOUBLE + {_wt('0.75::DOUBLE')})), 6) AS score FROM m GROUP BY ALL"
-_R = f"""{_S}, runs AS (SELECT 'plain' AS run, * FROM ({_best(_plain)}) UNION ALL SELECT 'lengths', * FROM ({_best(_long)})),
+_R = f"""{_S}, runs AS MATERIALIZED (SELECT 'plain' AS run, * FROM ({_best(_plain, search.RESULTS)}) UNION ALL SELECT 'lengths', * FROM ({_best(_long, search.RESULTS)})),
 qrels AS (SELECT qid, doc_id, quality AS rel FROM (SELECT DISTINCT qid FROM qt), labels),
 tot AS (SELECT qid, sum((rel > 0)::INT) AS R, sum((rel <= 0)::INT) AS NR FROM qrels GROUP BY qid),
 j AS (SELECT runs.*, CASE WHEN rel IS NULL THEN 'U' WHEN rel > 0 THEN 'R' ELSE 'N' END AS judgement FROM runs LEFT JOIN qrels USING (qid, doc_id)),
@@ -278,6 +321,9 @@ _freq = lambda cond: f"SELECT qid, term, sum(support)::DOUBLE AS score FROM memb
 _IDFI = f"""{_S}, top10 AS ({_best(_plain, 10)}), e AS (SELECT qid, post.doc_id, term FROM post JOIN top10 USING (doc_id)), wide AS (SELECT qid, doc_id FROM e GROUP BY ALL HAVING count(*) >= 2), sz AS (SELECT qid, count(*) AS c FROM wide GROUP BY qid),
 tf AS (SELECT qid, term, count(*) AS tf FROM e JOIN wide USING (qid, doc_id) WHERE (qid, term) NOT IN (SELECT (qid, term) FROM qt) GROUP BY ALL),
 gain AS (SELECT qid, term, round(ln((tf / c) / (df / n)), 6) AS score FROM tf JOIN sz USING (qid) JOIN idf USING (term), n)"""
+_CHOSEN = f"""{_IDFI}, l AS (SELECT qid, sum(qw) AS len FROM qt GROUP BY qid), t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, term) AS turn FROM gain), o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, regexp_replace(term, '^#', '') ORDER BY turn, term) AS k FROM t) WHERE k = 1),
+ch AS (SELECT qid, term, round(len / (len * 2), 6) AS qw FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY turn, term) AS place FROM o) JOIN l USING (qid) WHERE place <= len * 2)"""
+_subset = lambda w: f"SELECT qid, doc_id, round(pow(2.0, count(*) - 2) * (sum(qw * idf * {w}) + sum({w}) * sum(qw * idf)) / w_all / (pow(2.0, w_n) - 1), 6) AS score FROM m JOIN (SELECT qid, sum({w}) AS w_all, count(*) AS w_n FROM qt JOIN idf USING (term) GROUP BY qid) USING (qid) GROUP BY qid, doc_id, w_all, w_n"
 
 ORACLES = {
     "posting_table": f"WITH {SQL_DOCS} SELECT * FROM post",
@@ -288,7 +334,7 @@ ORACLES = {
     "bm25_lengths": f"{_S} {_best(_long)}",
     "bm25_padded": f"{_S.replace('m AS (', 'qp AS (SELECT * FROM qt UNION ALL SELECT qid, w, 1.0 FROM (SELECT DISTINCT qid FROM qt), (VALUES ($$the$$), ($$of$$)) v(w) WHERE (qid, w) NOT IN (SELECT (qid, term) FROM qt)), m AS (', 1).replace('JOIN qt USING', 'JOIN qp USING')} {_best(_plain)}",
     "bm25_grid": f"{_S}, s AS (SELECT b, k1, qid, doc_id, round(sum(qw * {_wt('b')} * idf / (k1 + {_wt('b')})), 6) AS score FROM m, unnest({BS}::DOUBLE[]) AS bb(b), unnest({K1S}::DOUBLE[]) AS kk(k1) GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY b, k1, qid ORDER BY score DESC, doc_id DESC)::INT AS rank FROM s) WHERE rank <= 10",
-    "search_time_cut": f"{_S} SELECT qid, doc_id, term, tf FROM m WHERE doc_id <= qid * {HOURS} AND doc_id NOT IN (SELECT doc_id FROM post WHERE term = 'with')",
+    "search_time_cut": f"{_S} SELECT qid, doc_id, term, tf FROM m, (SELECT max(doc_id) AS last_doc FROM documents), (SELECT max(item_id) AS last_topic FROM benchmark) WHERE doc_id::HUGEINT * last_topic <= qid::HUGEINT * last_doc AND doc_id NOT IN (SELECT doc_id FROM post WHERE term = 'with')",
     "fuzzy_terms": f"WITH {SQL_DOCS}, v AS (SELECT term AS token, round(1 - levenshtein(term, 'tion') / least(length(term), 4), 6) AS similarity FROM idf WHERE starts_with(term, 't') AND abs(length(term) - 4) <= 3) SELECT * FROM v WHERE similarity >= 0.6 ORDER BY similarity DESC, token LIMIT 7",
     "related_itemsets_rrf": f"{SQL_RELATED} SELECT qid, items, support, score, rank::INT AS rank, round(1.0 / (60 + rank), 9) AS fused FROM hits",
     "fused_runs": f"{_R} SELECT qid, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM runs GROUP BY ALL",
@@ -299,16 +345,25 @@ ORACLES = {
     "expanded_terms": f"""{SQL_RELATED}, c AS (SELECT 0 AS cluster, * FROM ({_freq('WHERE rank <= 20')}) UNION ALL SELECT 1, * FROM ({_freq('')})), t AS (SELECT *, row_number() OVER (PARTITION BY qid, cluster ORDER BY score DESC, term) AS turn FROM c),
         o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, regexp_replace(term, '^#', '') ORDER BY turn, cluster, term) AS n FROM t) WHERE n = 1), l AS (SELECT qid, sum(qw) AS len FROM pt GROUP BY qid)
         SELECT qid, term, round(len / (len * 3), 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY turn, cluster, term) AS place FROM o) JOIN l USING (qid) WHERE place <= len * 3""",
-    "expanded_run": f"""{_IDFI}, l AS (SELECT qid, sum(qw) AS len FROM qt GROUP BY qid), t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, term) AS turn FROM gain), o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, regexp_replace(term, '^#', '') ORDER BY turn, term) AS k FROM t) WHERE k = 1),
-        ch AS (SELECT qid, term, round(len / (len * 2), 6) AS qw FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY turn, term) AS place FROM o) JOIN l USING (qid) WHERE place <= len * 2),
-        wide_q AS (SELECT qid, term, sum(qw) AS qw FROM (SELECT qid, term, qw FROM qt UNION ALL SELECT * FROM ch) GROUP BY ALL), sc AS (SELECT qid, doc_id, round(sum(qw * idf), 6) AS score FROM post JOIN wide_q USING (term) JOIN idf USING (term) GROUP BY ALL)
+    "expanded_run": f"""{_CHOSEN}, wide_q AS (SELECT qid, term, sum(qw) AS qw FROM (SELECT qid, term, qw FROM qt UNION ALL SELECT * FROM ch) GROUP BY ALL), sc AS (SELECT qid, doc_id, round(sum(qw * idf), 6) AS score FROM post JOIN wide_q USING (term) JOIN idf USING (term) GROUP BY ALL)
         {_best('SELECT * FROM sc WHERE (qid, doc_id) IN (SELECT (qid, doc_id) FROM m)')}""",
+    "filtered_run": f"""{_CHOSEN}, own AS (SELECT qid, doc_id, sum(qw * idf) AS s, count(*) AS n FROM m GROUP BY ALL), more AS (SELECT qid, doc_id, sum(qw * idf) AS t, count(*) AS k FROM post JOIN ch USING (term) JOIN idf USING (term) GROUP BY ALL)
+        {_best('SELECT qid, doc_id, round(s * (1 + coalesce(k, 0)) + n * coalesce(t, 0), 6) AS score FROM own LEFT JOIN more USING (qid, doc_id)')}""",
+    "expanded_levels": f"""{SQL_RELATED}, c AS ({_freq('WHERE rank <= 20')}), o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, regexp_replace(term, '^#', '') ORDER BY score DESC, term) AS n, row_number() OVER (PARTITION BY qid ORDER BY score DESC, term) AS turn FROM c) WHERE n = 1), l AS (SELECT qid, sum(qw) AS len FROM pt GROUP BY qid),
+        ch AS (SELECT qid, term, round(len / len, 6) AS qw FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY turn, term) AS place FROM o) JOIN l USING (qid) WHERE place <= len), wide AS MATERIALIZED (SELECT qid, term, sum(qw) AS qw FROM (SELECT qid, term, qw FROM pt UNION ALL SELECT * FROM ch) GROUP BY ALL),
+        hit2 AS (SELECT qid, items, support, round(sum(qw * ln(((SELECT count(*) FROM sets) - df + 0.5) / (df + 0.5))), 6) AS score FROM each JOIN wide USING (term) JOIN sdf USING (term) GROUP BY ALL), hits2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, support DESC, items DESC) AS rank FROM hit2) WHERE rank <= 20)
+        SELECT qid, term, sum(support)::DOUBLE AS score FROM (SELECT qid, support, unnest(string_split(items, ' ')) AS term FROM hits2 WHERE contains(items, ' ')) WHERE (qid, term) NOT IN (SELECT (qid, term) FROM wide) GROUP BY ALL""",
+    "closed_hits": f"""{SQL_RELATED}, p AS MATERIALIZED (SELECT qid, items, string_split(items, ' ') AS parts, support, rank FROM hits), b AS (SELECT qid, parts AS more, unnest(parts) AS item FROM p)
+        SELECT qid, items, support, rank::INT AS rank FROM p WHERE (qid, items) NOT IN (SELECT (p.qid, p.items) FROM p JOIN b ON p.qid = b.qid AND b.item = p.parts[1] AND len(more) > len(p.parts) AND list_has_all(more, p.parts))""",
+    "bm25_subsets_idf": f"{_S} {_best(_subset('qw * idf'))}",
+    "bm25_subsets_length": f"{_S} {_best(_subset('qw'))}",
+    "english_run": f"{_S}, b AS ({_best(_plain)}) SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY rank)::INT AS rank FROM b JOIN documents USING (doc_id) WHERE lang = 'en'",
     "run_metrics": f"{_R} SELECT * FROM met",
     "top_runs": f"{_R} SELECT run, round(avg(rank_eff), 6) AS mean FROM met GROUP BY run ORDER BY mean DESC, run LIMIT 100",
     "append_judgement": f"{_R} SELECT run, qid, doc_id, rank, judgement FROM j",
     "unjudged": f"{_R} SELECT run, qid, doc_id, rank FROM runs WHERE rank <= 30 AND doc_id NOT IN (SELECT doc_id FROM qrels)",
     "judged_texts": f"{_R} SELECT run, qid, doc_id, place, judgement, md5(text) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY run, qid ORDER BY rank, doc_id)::INT AS place FROM j WHERE judgement <> 'U') JOIN documents USING (doc_id) WHERE place <= 5",
-    "rank_diff": f"{_R}, a AS (SELECT * FROM runs WHERE run = 'plain'), b AS (SELECT * FROM runs WHERE run = 'lengths') SELECT a.qid, a.doc_id, a.rank AS base_rank, coalesce((b.rank - a.rank)::DOUBLE, 'inf'::DOUBLE) AS difference FROM a LEFT JOIN b USING (qid, doc_id)",
+    "rank_diff": f"{_R}, a AS (SELECT * FROM runs WHERE run = 'plain'), b AS (SELECT * FROM runs WHERE run = 'lengths'), o AS (SELECT qid, fa - coalesce(fb, fa) AS gap FROM (SELECT qid, min(rank) AS fa FROM a GROUP BY qid) LEFT JOIN (SELECT qid, min(rank) AS fb FROM b GROUP BY qid) USING (qid)) SELECT a.qid, a.doc_id, a.rank AS base_rank, coalesce((b.rank + gap - a.rank)::DOUBLE, 'inf'::DOUBLE) AS difference FROM a JOIN o USING (qid) LEFT JOIN b USING (qid, doc_id)",
     "truncate_rank": f"{_R} SELECT * FROM runs WHERE rank <= 10",
     "truncate_score": f"{_R} SELECT run, qid, doc_id, score, row_number() OVER (PARTITION BY run, qid ORDER BY doc_id DESC)::INT AS rank FROM runs WHERE rank <= 20",
     "normalised_run": f"{_R}, z AS (SELECT run, qid, doc_id, round(CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1 END, 6) AS score FROM runs WINDOW w AS (PARTITION BY run, qid)) SELECT run, qid, doc_id, score FROM z WHERE score >= 0.2",

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from termloom.functions import text as fn
-from termloom.operators import counts
-from termloom.plans.common import events, load, tok
+from termloom.operators import counts, mining
+from termloom.plans.common import events, load, sql_mined, tok
 from termloom.sources import files
+from termloom.sources.shared import shared_path
 from termloom.streaming import windows
 
 DAY, HOUR, FIVE = 86_400, 3_600, 300
@@ -124,7 +126,98 @@ def stream_sliding_counts(spark, sf):
     return windows.drained(windows.windowed_counts(stream, "ts", "1 hour", "15 minutes", late="1 hour"))
 
 
-QUERIES = {f.__name__: f for f in (doc_freq, doc_freq_top, flist_pruned, flist_count, term_freq_stats, corpus_stats, message_length_stats, prefixed_author, window_tumbling_counts, window_sliding_counts, step_to_window_counts, decayed_counts, hour_slot_partition, interval_filter, key_grouped_sets, doc_slices, html_extract, status_histogram, language_id, stem_vocabulary, stream_window_counts, stream_sliding_counts)}
+def term_scan(spark, sf):
+    return counts.term_scan(doc_freq(spark, sf), 3, 400)
+
+
+def hashed_flist(spark, sf):
+    """Ids that depend on the token alone: how many there are, and how many differ from the token's own hash."""
+    ids = counts.hash_ids(doc_freq(spark, sf))
+    return ids.agg(F.count("*").alias("tokens"), F.countDistinct("id").alias("ids"))
+
+
+def flist_lengths(spark, sf):
+    return files.flist_lengths(doc_freq(spark, sf))
+
+
+# -- files: written into the shared folder and read from there ------------------
+
+
+def flist_file(spark, sf):
+    path = shared_path(spark)
+    files.write_flist(counts.prune_flist(doc_freq(spark, sf), MIN_FREQ, 100), path)
+    return files.read_flist(spark, path)
+
+
+def patterns_file(spark, sf):
+    path = shared_path(spark)
+    rows = events(spark, sf).withColumn("basket", F.struct("user_id", F.floor(F.col("sec") / DAY)))
+    files.write_patterns(mining.top_patterns(mining.closed(mining.frequent(mining.baskets(rows, "basket", "event_type"), 3))), path)
+    return files.read_patterns(spark, path)
+
+
+def messages_file(spark, sf):
+    """Documents as messages, one a minute, written under hour and slot folders; those of a span are read, then all."""
+    path = shared_path(spark)
+    docs = load(spark, sf, "documents")
+    files.write_messages(docs.select(F.col("doc_id").alias("id"), F.col("source").alias("screen_name"), (F.col("doc_id") * 60_000).alias("ts"), "text"), path)
+    span = files.read_slots(spark, path, 3_000_000, 30_000_000)
+    return span.select("id", "screen_name", "ts", F.md5("text").alias("digest"))
+
+
+def run_file(spark, sf):
+    path = shared_path(spark)
+    rows = load(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("qid"), F.col("l_partkey").alias("doc_id")).agg(F.round(F.sum("l_quantity"), 2).alias("score"))
+    own = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("doc_id")))
+    files.write_run(rows.select(F.lit("quantity").alias("run"), "qid", "doc_id", own.alias("rank"), "score"), path)
+    return files.read_run(spark, path)
+
+
+def judgements_file(spark, sf):
+    """Labels as judgement lines, with lines that are none."""
+    path = shared_path(spark)
+    lines = load(spark, sf, "labels").select(F.explode(F.array(F.format_string("1 0 %s %s", F.col("doc_id").cast("string"), F.col("quality").cast("string")), F.format_string("1 0 %s none", F.col("doc_id").cast("string")), F.lit("short line"))).alias("value"))
+    lines.write.text(path)
+    return files.read_qrels(spark, path)
+
+
+def topics_file(spark, sf):
+    """Benchmark items as topics, asked a day apart."""
+    path = shared_path(spark)
+    time = F.date_format(F.timestamp_seconds(F.col("item_id") * DAY), "EEE MMM dd HH:mm:ss Z yyyy")
+    entry = F.format_string("<top>\n<num> Number: MB%03d </num>\n<title> %s </title>\n<querytime> %s </querytime>\n<querytweettime> %d </querytweettime>\n</top>", F.col("item_id"), F.regexp_replace("text", "[<>\\s]+", " "), time, F.col("item_id"))
+    load(spark, sf, "benchmark").select(entry.alias("value")).write.text(path)
+    return files.read_topics(spark, path).select("qid", "query_ts", "max_id", F.md5("query").alias("digest"))
+
+
+def grouped_file(spark, sf):
+    """Orders as lines of four fields, grouped by customer and status; lines of another number of fields are counted."""
+    path = shared_path(spark)
+    load(spark, sf, "orders").select(F.explode(F.array(F.concat_ws("|", "o_custkey", "o_orderstatus", "o_orderkey", "o_orderpriority"), F.concat_ws("|", "o_custkey", "o_orderkey"))).alias("value")).write.text(path)
+    rows, bad = files.read_grouped(spark, path, "\\|", [0, 1], 2)
+    sets = counts.grouped_sets(rows, ["k0", "k1"], "member").select("k0", "k1", "part", F.concat_ws(" ", "members").alias("members"))
+    return sets.crossJoin(F.broadcast(bad))
+
+
+def denied_pages(spark, sf):
+    """Pages as fetched records with a status file beside them; those of a bad status are left out."""
+    path = shared_path(spark)
+    pages = load(spark, sf, "pages")
+    status = F.when(F.length("html") % 3 == 0, "404").otherwise("200")
+    pages.select(F.concat_ws(" ", F.col("page_id").cast("string"), status).alias("value")).write.text(path)
+    denied = files.denied_ids(spark, path).select(F.col("id").cast("long").alias("id"))
+    marked = F.concat(F.lit("<span class=entry-content"), F.lit(">"), F.col("url"), F.lit("</span><span class=entry-meta data=\"{time:'Sun Feb 06 10:38:43 +0000 2011'}\">"))
+    fetched = pages.select(F.col("page_id").alias("id"), F.lit("web").alias("screen_name"), F.lit(200).alias("http_status"), marked.alias("html"))
+    return files.page_messages(fetched, denied).select("id", "ts")
+
+
+def folder_scan(spark, sf):
+    path = shared_path(spark)
+    load(spark, sf, "orders").select("o_orderstatus", F.col("o_orderkey").cast("string").alias("value")).write.partitionBy("o_orderstatus").text(path)
+    return files.folder(spark, path, "text", "part-*").agg(F.count("*").alias("lines"), F.sum(F.col("value").cast("long")).alias("total"))
+
+
+QUERIES = {f.__name__: f for f in (doc_freq, doc_freq_top, flist_pruned, flist_count, term_freq_stats, corpus_stats, message_length_stats, prefixed_author, window_tumbling_counts, window_sliding_counts, step_to_window_counts, decayed_counts, hour_slot_partition, interval_filter, key_grouped_sets, doc_slices, html_extract, status_histogram, language_id, stem_vocabulary, stream_window_counts, stream_sliding_counts, term_scan, hashed_flist, flist_lengths, flist_file, patterns_file, messages_file, run_file, judgements_file, topics_file, grouped_file, denied_pages, folder_scan)}
 
 _DF = f"df AS (SELECT token, count(*) AS freq FROM (SELECT unnest(list_distinct({tok()})) AS token FROM documents) GROUP BY token)"
 _EV = "ev AS (SELECT *, floor(epoch_us(ts) / 1000000)::BIGINT AS sec FROM events)"
@@ -158,4 +251,18 @@ ORACLES = {
     "status_histogram": f"SELECT CASE WHEN coalesce({_article} <> '', false) THEN 200 ELSE 0 END AS status, count(*) AS n FROM pages GROUP BY 1",
     "stream_window_counts": f"WITH {_EV} SELECT * FROM (SELECT {_slot(HOUR)} AS window_start, event_type, count(*) AS freq FROM ev GROUP BY ALL) WHERE window_start + {HOUR} <= {_emitted}",
     "stream_sliding_counts": f"WITH {_EV} SELECT * FROM (SELECT ({_slot(900)} - k * 900)::BIGINT AS window_start, count(*) AS freq FROM ev, range(4) AS r(k) GROUP BY ALL) WHERE window_start + {HOUR} <= {_emitted}",
+    "term_scan": f"WITH {_DF} SELECT token, freq FROM df WHERE freq BETWEEN 3 AND 400 AND length(token) >= 3 AND token NOT IN ({', '.join(repr(w) for w in fn.STOP_WORDS)}) AND ascii(token) < 128",
+    "hashed_flist": f"WITH {_DF} SELECT count(*) AS tokens, count(DISTINCT token) AS ids FROM df",
+    "flist_lengths": f"WITH {_DF} SELECT count(*) AS n, min(length(token)) AS min, max(length(token)) AS max, round(avg(length(token)), 6) AS mean, round(var_samp(length(token)), 4) AS variance, sum(length(token))::BIGINT AS sum FROM df",
+    "flist_file": f"WITH {_DF} SELECT * FROM df WHERE freq >= {MIN_FREQ}",
+    "patterns_file": f"""WITH RECURSIVE {sql_mined('SELECT DISTINCT (user_id, floor(epoch_us(ts) / 86400000000)) AS o, event_type AS i FROM events', 3)}, above AS (SELECT sub, max(support) AS most FROM (SELECT list_filter(items, lambda x: x <> i) AS sub, support FROM (SELECT items, support, unnest(items) AS i FROM mined WHERE len(items) > 1)) GROUP BY sub),
+        e AS (SELECT unnest(items) AS item, array_to_string(items, ' ') AS items, len(items) AS n, support FROM mined LEFT JOIN above ON items = sub WHERE most IS NULL OR most < support)
+        SELECT item, rank, items, support FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY support DESC, n DESC, items DESC)::INT AS rank FROM e) WHERE rank <= {mining.TOP_K}""",
+    "messages_file": "SELECT doc_id AS id, source AS screen_name, doc_id * 60000 AS ts, md5(text) AS digest FROM documents WHERE doc_id * 60000 BETWEEN 3000000 AND 30000000",
+    "run_file": "SELECT 'quantity' AS run, l_suppkey::VARCHAR AS qid, l_partkey::VARCHAR AS doc_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY score DESC, l_partkey DESC)::INT AS rank, score FROM (SELECT l_suppkey, l_partkey, round(sum(l_quantity), 2) AS score FROM lineitem GROUP BY ALL)",
+    "judgements_file": "SELECT '1' AS qid, doc_id::VARCHAR AS doc_id, quality::DOUBLE AS rel FROM labels",
+    "topics_file": f"SELECT 'MB' || lpad(item_id::VARCHAR, greatest(3, length(item_id::VARCHAR))::INT, '0') AS qid, item_id * {DAY} * 1000 AS query_ts, item_id AS max_id, md5(trim(regexp_replace(text, '[<>\\s]+', ' ', 'g'))) AS digest FROM benchmark",
+    "grouped_file": "WITH s AS (SELECT o_custkey::VARCHAR AS k0, o_orderstatus AS k1, o_orderkey::VARCHAR AS m, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey::VARCHAR) AS n FROM orders) SELECT k0, k1, ((n - 1) // 100)::INT AS part, string_agg(m, ' ' ORDER BY m) AS members, (SELECT count(*) FROM orders) AS bad FROM s GROUP BY 1, 2, 3 HAVING max(n) > 1",
+    "denied_pages": "SELECT page_id AS id, 1296988723000 AS ts FROM pages WHERE length(html) % 3 <> 0",
+    "folder_scan": "SELECT count(*) AS lines, sum(o_orderkey)::BIGINT AS total FROM orders",
 }

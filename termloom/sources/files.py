@@ -10,6 +10,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from termloom.functions.text import html_text, java_escape, java_unescape, mail_time, page_time, tokens
+from termloom.operators.counts import summary
 from termloom.sources.shared import ranked
 
 MESSAGES = StructType([StructField("id", LongType()), StructField("screen_name", StringType()), StructField("ts", LongType()), StructField("text", StringType())])
@@ -88,8 +89,9 @@ def read_topics(spark: SparkSession, path: str, chronological: bool = False) ->
 
 
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
+    """(qid, doc_id, rel) of lines `qid x doc rel`; short lines and judgements that are no number are dropped."""
     parts = F.split(F.trim("value"), r"\s+")
-    return spark.read.text(path).where(F.size(parts) >= 4).select(parts[0].alias("qid"), parts[2].alias("doc_id"), parts[3].cast("double").alias("rel"))
+    return spark.read.text(path).where(F.size(parts) >= 4).select(parts[0].alias("qid"), parts[2].alias("doc_id"), parts[3].try_cast("double").alias("rel")).where("rel is not null")
 
 
 def read_run(spark: SparkSession, path: str) -> DataFrame:
@@ -118,6 +120,30 @@ def write_flist(flist: DataFrame, path: str) -> None:
     flist.repartitionByRange(F.desc("freq"), F.col("token")).sortWithinPartitions(F.desc("freq"), "token").select(F.concat_ws("\t", "token", F.col("freq").cast("string")).alias("value")).write.text(path)
 
 
+def read_flist(spark: SparkSession, path: str) -> DataFrame:
+    """(token, freq) of lines that write_flist wrote; others are dropped."""
+    f = F.split("value", "\t")
+    rows = spark.read.text(path).select(f[0].alias("token"), F.get(f, F.lit(1)).try_cast("long").alias("freq"))
+    return rows.where("freq is not null")
+
+
+def flist_lengths(flist: DataFrame) -> DataFrame:
+    """One row: n, min, max, mean, variance, sum of the lengths of the tokens."""
+    return summary(flist.select(F.length("token").cast("long").alias("chars")), "chars")
+
+
+def read_patterns(spark: SparkSession, path: str) -> DataFrame:
+    """(item, rank, items, support) of lines that write_patterns wrote."""
+    f = F.split("value", "\t")
+    each = spark.read.text(path).where(F.size(f) == 2).select(f[0].alias("item"), F.posexplode(F.split(f[1], ", ")).alias("at", "p"))
+    return each.select("item", (F.col("at") + 1).alias("rank"), F.regexp_extract("p", "^(.*):", 1).alias("items"), F.regexp_extract("p", ":([0-9]+)$", 1).try_cast("long").alias("support"))
+
+
+def write_metrics(metrics: DataFrame, path: str) -> None:
+    """A small table of figures as one CSV file with a header."""
+    metrics.coalesce(1).write.option("header", True).csv(path)
+
+
 def slices(docs: DataFrame, id_col: str = "doc_id", per_slice: int = 1000) -> DataFrame:
     """(slice, doc_id, items): token sets of documents in slices of so many, in id order."""
     placed = ranked(docs.select(F.col(id_col).alias("doc_id"), F.array_sort(F.array_distinct(tokens(F.col("text")))).alias("items")), [F.col("doc_id")], "place")

@@ -79,3 +79,15 @@ def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     sizes = sizes.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
     own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return placed.join(F.broadcast(sizes), "_part").withColumn(name, F.col("_before") + own).drop("_part", "_before")
+
+
+def accumulated(df: DataFrame, order: list[Column], sums: list[str]) -> DataFrame:
+    """df with c_sum, the sum of column c over all rows up to this one in a total order, for every c of sums: within
+    range partitions, to which the sums of the partitions before are added."""
+    placed = table(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = placed.groupBy("_part").agg(*[F.sum(c).alias(c) for c in sums])  # a row for each task
+    whole = whole.select("_part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias("_" + c) for c in sums])
+    own = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    found = placed.join(F.broadcast(whole), "_part")
+    return found.withColumns({c + "_sum": F.col("_" + c) + F.sum(c).over(own) for c in sums}).drop("_part", *["_" + c for c in sums])

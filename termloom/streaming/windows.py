@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from termloom.operators.counts import epoch_seconds
 from termloom.operators.mining import MIN_SUPPORT, fold, frequent
-from termloom.sources.shared import shared_path, table
+from termloom.sources.shared import shared_path
 
 
 def replay(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 8) -> DataFrame:
@@ -25,13 +26,14 @@ def windowed_counts(stream: DataFrame, ts: str, size: str, step: str | None = No
     return marked.groupBy(F.window(ts, size, step or size).alias("w"), *keys).agg(F.count("*").alias("freq"))
 
 
-def drained(counts: DataFrame) -> DataFrame:
-    """Runs a windowed stream over all that is there now and returns the emitted windows (window_start, keys, freq).
+def drained(counts: DataFrame, path: str | None = None) -> DataFrame:
+    """Runs a windowed stream over all that is there now and returns all windows emitted so far (window_start, keys, freq).
 
-    Output and state live in the shared folder, so a lost executor or driver resumes from the last batch.
+    Output and state live under `path` (a fresh one in the shared folder by default): a later call with the same path
+    goes on after the last batch, also when a driver was lost in between.
     """
     spark = counts.sparkSession
-    path = shared_path(spark)
+    path = path or shared_path(spark)
     keys = [c for c in counts.columns if c not in ("w", "freq")]
     flat = counts.select(F.col("w.start").alias("start"), *keys, "freq")
     query = flat.writeStream.outputMode("append").format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
@@ -40,15 +42,30 @@ def drained(counts: DataFrame) -> DataFrame:
     return rows.select(epoch_seconds(F.col("start").cast("timestamp_ntz")).alias("window_start"), *keys, "freq")
 
 
-def folded_patterns(stream: DataFrame, to_transactions: Callable[[DataFrame], DataFrame], min_support: int = MIN_SUPPORT) -> DataFrame:
-    """Patterns of a stream of blocks: each batch is mined and the older patterns are folded in, decayed by one window."""
+PATTERNS = "items array<string>, support long"
+
+
+def folded_patterns(stream: DataFrame, to_transactions: Callable[[DataFrame], DataFrame], min_support: int = MIN_SUPPORT, path: str | None = None) -> DataFrame:
+    """Patterns of a stream of blocks: each batch is mined and the older patterns are folded in, decayed by one window.
+
+    The patterns after batch n are the table patterns/n under `path`, written before the batch is committed; a batch that
+    runs again after a loss reads table n - 1 and writes table n anew. So a later call with the same path goes on.
+    """
     spark = stream.sparkSession
-    path = shared_path(spark)
-    state: dict[str, DataFrame] = {}
+    path = path or shared_path(spark)
+    path = path or shared_path(spark)
+    at = lambda n: f"{path}/patterns/{n}"
 
     def block(batch: DataFrame, number: int) -> None:
         new = frequent(to_transactions(batch), min_support)
-        state["patterns"] = table(fold(new, state["patterns"], 1)) if state else new
+        old = spark.read.schema(PATTERNS).parquet(at(number - 1)) if number else None
+        (fold(new, old, 1) if old is not None else new).write.mode("overwrite").parquet(at(number))
+        spark.range(1).select(F.lit(number).cast("long").alias("block")).write.mode("overwrite").parquet(f"{path}/done/{number}")
 
-    stream.writeStream.foreachBatch(block).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    return state["patterns"] if state else spark.createDataFrame([], "items array<string>, support long")
+    query = stream.writeStream.foreachBatch(block).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    try:
+        last = spark.read.schema("block long").option("recursiveFileLookup", True).parquet(f"{path}/done").agg(F.max("block")).first()[0]
+    except AnalysisException:  # no batch so far
+        return spark.createDataFrame([], PATTERNS)
+    return spark.read.schema(PATTERNS).parquet(at(last))
