@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -121,17 +125,42 @@ def closed_hits(hits: DataFrame) -> DataFrame:
     return hits.join(inside.select("qid", "items").distinct(), ["qid", "items"], "left_anti")
 
 
-def bm25_grid(met: DataFrame, idf: DataFrame, bs: list[float], k1s: list[float], average: float) -> DataFrame:
+def bm25_grid(met: DataFrame, idf: DataFrame, bs: list[float], k1s: list[float], average: float, n: int = RESULTS) -> DataFrame:
     """(b, k1, qid, doc_id, score) of every parameter pair in one pass over the matches; tf and length count here.
 
-    A match feeds one sum for each pair; only the sums of a document are spread over rows.
+    The matches of a document come together, so its sums for all pairs are one matrix product; of each batch of a
+    query's documents only those that can be among its n best for a pair are handed on to top().
     """
-    pairs = [(b, k1) for b in bs for k1 in k1s]
-    wt = lambda b: F.col("tf") / ((1 - b) + b * F.col("len") / average)
-    sums = [F.sum(F.col("qw") * wt(b) * F.col("idf") / (k1 + wt(b))).alias(f"s{i}") for i, (b, k1) in enumerate(pairs)]
-    wide = met.join(sized(table(idf.select("term", "idf"))), "term").groupBy("qid", "doc_id").agg(*sums)
-    each = F.explode(F.array(*[F.struct(F.lit(b).alias("b"), F.lit(k1).alias("k1"), F.col(f"s{i}").alias("s")) for i, (b, k1) in enumerate(pairs)]))
-    return wide.select("qid", "doc_id", each.alias("g")).select("g.b", "g.k1", "qid", "doc_id", F.round("g.s", 6).alias("score"))
+    b, k1 = (np.array(x) for x in zip(*[(b, k1) for b in bs for k1 in k1s]))
+    rows = met.join(sized(table(idf.select("term", "idf"))), "term").select("qid", "doc_id", F.col("tf").cast("double").alias("tf"), F.col("len").cast("double").alias("len"), (F.col("qw") * F.col("idf")).alias("w"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in itertools.chain(batches, [None]):
+            whole = rest if batch is None else batch if rest is None else pd.concat((rest, batch))
+            if whole is None or not len(whole):
+                continue
+            rest = None
+            if batch is not None:  # the last document may go on in the next batch
+                last = (whole["qid"] == whole["qid"].iloc[-1]) & (whole["doc_id"] == whole["doc_id"].iloc[-1])
+                whole, rest = whole[~last], whole[last]
+                if not len(whole):
+                    continue
+            q, d = whole["qid"].to_numpy(), whole["doc_id"].to_numpy()
+            starts = np.flatnonzero(np.concatenate(([True], (q[1:] != q[:-1]) | (d[1:] != d[:-1]))))
+            wt = whole["tf"].to_numpy()[:, None] / ((1 - b) + b * whole["len"].to_numpy()[:, None] / average)
+            scores = np.round(np.add.reduceat(whole["w"].to_numpy()[:, None] * wt / (k1 + wt), starts, axis=0), 6)
+            q, d = q[starts], d[starts]
+            edges = np.concatenate(([0], np.flatnonzero(q[1:] != q[:-1]) + 1, [len(q)]))
+            for low, high in zip(edges, edges[1:]):
+                best = high - 1 - np.argsort(-scores[low:high][::-1], axis=0, kind="stable")[:n]  # ties by descending id
+                pair = np.broadcast_to(np.arange(len(b)), best.shape).ravel()
+                at = best.ravel()
+                yield pd.DataFrame({"b": b[pair], "k1": k1[pair], "qid": q[at], "doc_id": d[at], "score": scores[at, pair]})
+
+    kinds = {c: met.schema[c].dataType.simpleString() for c in ("qid", "doc_id")}
+    ready = rows.repartition("qid", "doc_id").sortWithinPartitions("qid", "doc_id")
+    return ready.mapInPandas(run, f"b double, k1 double, qid {kinds['qid']}, doc_id {kinds['doc_id']}, score double")
 
 
 def top(scored: DataFrame, n: int = RESULTS, by: tuple[str, ...] = ("qid",), tie: str = "doc_id") -> DataFrame:

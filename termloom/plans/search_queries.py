@@ -60,7 +60,7 @@ def bm25_padded(spark, sf):
 
 def bm25_grid(spark, sf):
     terms, rows, idf = _ready(spark, sf)
-    return search.top(search.bm25_grid(search.matches(rows, terms), idf, BS, K1S, 250.0), 10, ("b", "k1", "qid"))
+    return search.top(search.bm25_grid(search.matches(rows, terms), idf, BS, K1S, 250.0, 10), 10, ("b", "k1", "qid"))
 
 
 def search_time_cut(spark, sf):
