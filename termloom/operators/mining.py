@@ -23,27 +23,65 @@ def baskets(rows: DataFrame, basket: str, item: str) -> DataFrame:
     return rows.where(F.col(item).isNotNull()).groupBy(basket).agg(F.sort_array(F.collect_set(F.col(item).cast("string"))).alias("items"))
 
 
-def prune_items(transactions: DataFrame, min_support: int, col: str = "items") -> DataFrame:
-    """Transactions without items below the support: what can't be in a frequent set isn't shipped to the miner."""
-    placed = transactions.withColumn("_row", F.monotonically_increasing_id())
-    placed = table(placed.select("_row", col))
-    items = placed.select("_row", F.explode(F.array_distinct(col)).alias("i"))
-    often = table(items.groupBy("i").count().where(F.col("count") >= min_support).select("i"))
-    kept = items.join(sized(often), "i", "left_semi")
-    return kept.groupBy("_row").agg(F.sort_array(F.collect_list("i")).alias(col)).drop("_row")
+#: Pairs for each item up to which counting all pairs of a transaction is cheaper than prefix trees of all transactions.
+PAIRS_PER_ITEM = 64
+
+
+def prune_items(transactions: DataFrame, min_support: int, col: str = "items") -> tuple[DataFrame, DataFrame]:
+    """(transactions with the items that have the support, sorted; (i, support) of these items). Both stored.
+
+    What can't be in a frequent set isn't shipped to the miner; where every item has the support nothing is joined.
+    """
+    own = F.sort_array(F.array_distinct(F.array_compact(col)))
+    placed = table(transactions.select(F.monotonically_increasing_id().alias("_row"), own.alias(col)).where(F.size(col) > 0))
+    items = placed.select("_row", F.explode(col).alias("i"))
+    counts = table(items.groupBy("i").agg(F.count("*").alias("support")))
+    often = table(counts.where(F.col("support") >= min_support))
+    if counts.count() == often.count():
+        return placed, often
+    kept = items.join(sized(often.select("i")), "i", "left_semi")
+    return table(kept.groupBy("_row").agg(F.sort_array(F.collect_list("i")).alias(col))), often
+
+
+def item_pairs(placed: DataFrame, col: str = "items") -> DataFrame:
+    """(_row, a, b), a < b: the pairs of items of each transaction of sorted items."""
+    firsts = placed.where(F.size(col) > 1).select("_row", col, F.posexplode(col).alias("_at", "a"))
+    return firsts.select("_row", "a", F.explode(F.slice(col, F.col("_at") + 2, F.size(col))).alias("b"))
 
 
 def frequent(transactions: DataFrame, min_support: int = MIN_SUPPORT, col: str = "items", partitions: int | None = None) -> DataFrame:
-    """(items, support) of all itemsets in at least `min_support` transactions, by parallel FP-growth. Stored.
+    """(items, support) of all itemsets in at least `min_support` transactions. Stored.
 
-    Group-dependent shards and prefix trees are the built-in miner's own. An empty input gives no row.
+    Items and pairs are counted by aggregation; sets of three and more are found by parallel FP-growth, whose
+    group-dependent shards and prefix trees are the built-in miner's own. An item of a transaction can be in such a set
+    only if it makes two frequent pairs there, so the trees hold nothing else. Where transactions are so long that their
+    pairs outnumber their items by far, the trees hold all of them. An empty input gives no row.
     """
-    pruned = table(prune_items(transactions, min_support, col))
-    n = pruned.count()
-    if not n:
-        return pruned.select(F.col(col).alias("items"), F.lit(0).cast("long").alias("support")).limit(0)
-    model = FPGrowth(itemsCol=col, minSupport=max(0.0, (min_support - 0.5) / n), **({"numPartitions": partitions} if partitions else {})).fit(pruned)
-    return table(model.freqItemsets.select(F.sort_array("items").alias("items"), F.col("freq").cast("long").alias("support")))
+    placed, often = prune_items(transactions, min_support, col)
+    n = F.size(col).cast("long")
+    made = placed.agg(F.coalesce(F.sum(n * (n - 1) / 2), F.lit(0.0)).alias("pairs"), F.coalesce(F.sum(n), F.lit(0)).alias("items")).first()
+    if not made["items"]:
+        return placed.select(F.col(col).alias("items"), F.lit(0).cast("long").alias("support")).limit(0)
+    if made["pairs"] > PAIRS_PER_ITEM * made["items"]:
+        found = _grown(placed.select(col), min_support, col, partitions)
+        return table(found) if found is not None else often.select(F.array("i").alias("items"), "support").limit(0)
+    pairs = item_pairs(placed, col)
+    both = table(pairs.groupBy("a", "b").agg(F.count("*").alias("support")).where(F.col("support") >= min_support))
+    found = often.select(F.array("i").alias("items"), "support").unionByName(both.select(F.array("a", "b").alias("items"), "support"))
+    held = pairs.join(sized(both.select("a", "b")), ["a", "b"], "left_semi")
+    ends = held.select("_row", F.explode(F.array("a", "b")).alias("i")).groupBy("_row", "i").count().where("count > 1")
+    rest = table(ends.groupBy("_row").agg(F.sort_array(F.collect_list("i")).alias(col)).where(F.size(col) > 2).select(col))
+    larger = _grown(rest, min_support, col, partitions)
+    return table(found if larger is None else found.unionByName(larger.where(F.size("items") > 2)))
+
+
+def _grown(transactions: DataFrame, min_support: int, col: str, partitions: int | None) -> DataFrame | None:
+    """(items, support) by the built-in miner, None with fewer transactions than the support."""
+    n = transactions.count()
+    if n < min_support:
+        return None
+    model = FPGrowth(itemsCol=col, minSupport=max(0.0, (min_support - 0.5) / n), **({"numPartitions": partitions} if partitions else {})).fit(transactions)
+    return model.freqItemsets.select(F.sort_array("items").alias("items"), F.col("freq").cast("long").alias("support"))
 
 
 def _one_less(patterns: DataFrame) -> DataFrame:

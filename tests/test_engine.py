@@ -497,3 +497,31 @@ def test_roc_over_many_partitions(spark):
     assert sorted(map(tuple, points.collect()), reverse=True) == want
     auc = sum((a > b) + (a == b) / 2 for a, x in rows if x for b, y in rows if not y) / pos / neg
     assert evaluate.area(points).first()[0] == pytest.approx(auc, abs=2e-4)
+
+
+# -- figures at size ---------------------------------------------------------------------------------------------------
+
+
+def test_trees_hold_only_what_can_be_in_a_set_of_three(spark, monkeypatch):
+    monkeypatch.setattr(mining, "FPGrowth", None)  # no three items of a transaction make three frequent pairs
+    got = mining.frequent(transactions(spark, ["abx", "aby", "cdz", "cdw", "bcv"]), 2)
+    assert as_dict(got) == {"a": 2, "b": 3, "c": 3, "d": 2, "ab": 2, "cd": 2}
+
+
+@pytest.mark.parametrize("limit", [0, mining.PAIRS_PER_ITEM])
+def test_itemsets_by_pairs_and_by_trees_of_all_items(spark, monkeypatch, limit):
+    monkeypatch.setattr(mining, "PAIRS_PER_ITEM", limit)
+    r = random.Random(5)
+    sets = ["".join(r.sample("abcdefghij", r.randint(1, 7))) for _ in range(60)] + ["abcdexyz"] * 2
+    assert as_dict(mining.frequent(transactions(spark, sets), 4)) == brute(sets, 4)
+
+
+def test_models_of_many_queries_in_a_group_and_without_copies_of_the_text(spark):
+    hits = spark.createDataFrame([(q, f"a b w{q} w{q + i}", 3 + i, i) for q in range(5) for i in range(1, 4)], "qid long, items string, support long, rank int")
+    terms = spark.createDataFrame([(q, t, 1.0) for q in range(5) for t in "ab"], "qid long, term string, qw double")
+    df = spark.createDataFrame([(t, 2 + i) for i, t in enumerate(["a", "b", *(f"w{i}" for i in range(9))])], "term string, df long")
+    one, many = (expand.per_query(hits, terms, df, 50.0, expand.svd_terms, together=n) for n in (1, 256))
+    rows = lambda x: sorted(map(tuple, x.collect()))
+    assert rows(one) == rows(many) and len(rows(one)) > 5
+    grouped = [line for line in many._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in line]
+    assert grouped and not any("items#" in line for line in grouped)
