@@ -95,23 +95,37 @@ class Hits:
         return m
 
 
-def per_query(hits: DataFrame, terms: DataFrame, df: DataFrame, corpus: float, model: Callable[[Hits], list[tuple]], columns: str = "term string, score double", first: int = 100) -> DataFrame:
-    """Rows (qid, columns) that `model` makes of each query's first hits; scores are rounded to 6 places."""
+def per_query(hits: DataFrame, terms: DataFrame, df: DataFrame, corpus: float, model: Callable[[Hits], list[tuple]], columns: str = "term string, score double", first: int = 100, together: int = 256) -> DataFrame:
+    """Rows (qid, columns) that `model` makes of each query's first hits; scores are rounded to 6 places.
+
+    A set is known by its query and rank, so its text isn't copied to each of its terms. About `together` queries make
+    one Arrow group, as most queries have a few small sets.
+    """
     rows = hits.withColumn("parts", F.split("items", " ")).where((F.size("parts") >= MIN_SIZE) & (F.col("rank") <= first))
-    each = rows.select("qid", "items", "support", "rank", F.explode("parts").alias("term")).join(df.select("term", "df"), "term", "left")
-    sets = each.groupBy("qid", "items", "support", "rank").agg(F.sort_array(F.collect_list(F.struct("term", F.coalesce(F.col("df").cast("double"), F.lit(0.0)).alias("df")))).alias("t"))
-    asked = terms.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("term", "qw"))).alias("q"))
+    each = rows.select("qid", "support", "rank", F.explode("parts").alias("term")).join(df.select("term", "df"), "term", "left")
+    sets = each.groupBy("qid", "support", "rank").agg(F.sort_array(F.collect_list(F.struct("term", F.coalesce(F.col("df").cast("double"), F.lit(0.0)).alias("df")))).alias("t"))
+    return modelled(sets, terms, corpus, model, columns, together)
+
+
+def modelled(sets: DataFrame, terms: DataFrame, corpus: float, model: Callable[[Hits], list[tuple]], columns: str, together: int) -> DataFrame:
+    """per_query of sets (qid, support, rank, t), t the sorted (term, df) of each."""
+    asked = table(terms.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("term", "qw"))).alias("q")))
+    groups = -(-max(1, asked.count()) // together)
     ready = sets.join(sized(asked), "qid").select("qid", "support", "rank", F.col("t.term").alias("terms"), F.col("t.df").alias("dfs"), F.col("q.term").alias("q_terms"), F.col("q.qw").alias("q_weights"))
     names = [c.split()[0] for c in columns.split(", ")]
-    kind = hits.schema["qid"].dataType.simpleString()
+    kind = sets.schema["qid"].dataType.simpleString()
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        made = pd.DataFrame(model(Hits(group, corpus)), columns=names)
-        made.insert(0, "qid", group["qid"].iloc[0])
+        group = group.sort_values("qid", kind="stable")
+        q = group["qid"].to_numpy()
+        edges = [0, *(np.flatnonzero(q[1:] != q[:-1]) + 1), len(q)]
+        found = [(q[low], *row) for low, high in zip(edges, edges[1:]) for row in model(Hits(group.iloc[low:high], corpus))]
+        made = pd.DataFrame(found, columns=["qid", *names])
         made["score"] = np.nan_to_num(made["score"].astype(float), nan=1e-6, posinf=1e-6, neginf=1e-6).round(6)
         return made
 
-    return ready.groupBy("qid").applyInPandas(run, f"qid {kind}, {columns}")
+    key = F.col("qid") if together == 1 else F.pmod(F.xxhash64("qid"), F.lit(groups))
+    return ready.groupBy(key.alias("_group")).applyInPandas(run, f"qid {kind}, {columns}")
 
 
 def conditional(h: Hits) -> list[tuple[str, float]]:

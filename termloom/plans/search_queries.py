@@ -145,9 +145,10 @@ CLUSTERS = "cluster int, term string, score double"
 def expand_clusters_results(spark, sf):
     """Terms of the best 30 documents of each topic, clustered by document."""
     terms, _, idf, _, hits, near = _feedback(spark, sf, 30)
-    sets = near.groupBy("doc_id").agg(F.concat_ws(" ", F.sort_array(F.collect_list("term"))).alias("items"))
-    related = hits.join(sets, "doc_id").select("qid", "items", F.lit(1).cast("long").alias("support"), "rank")
-    return expand.per_query(related, terms, idf, _length(idf), lambda h: expand.cluster_patterns(h, False), CLUSTERS, 30)
+    known = near.select("doc_id", "term").join(idf.select("term", "df"), "term")
+    sets = known.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("term", F.col("df").cast("double").alias("df")))).alias("t"))
+    related = hits.join(sets.where(F.size("t") >= expand.MIN_SIZE), "doc_id").select("qid", F.lit(1).cast("long").alias("support"), "rank", "t")
+    return expand.modelled(related, terms, _length(idf), lambda h: expand.cluster_patterns(h, False), CLUSTERS, 1)
 
 
 def expanded_terms(spark, sf):
