@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from termloom.functions import words
 from termloom.functions.text import tokens
 from termloom.sources.shared import sized, table
 
@@ -31,11 +32,11 @@ def query_terms(queries: DataFrame, qid: str, text: str, first: int | None = Non
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text: str = "text", only: DataFrame | None = None) -> DataFrame:
-    """(doc_id, len, term, tf); with `only`, of these terms: the rest is dropped before anything is shuffled."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text)).alias("t")).select("doc_id", F.size("t").cast("long").alias("len"), F.explode("t").alias("term"))
+    """(doc_id, len, term, tf); with `only`, of these terms. Counted row by row: only ids that stand twice are added up."""
+    rows = words.flat(docs, id_col, text)
     if only is not None:
-        rows = rows.join(sized(table(only.select("term").distinct())), "term", "left_semi")
-    return rows.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+        rows = rows.join(sized(table(only.select("term").distinct())), "term", "left_semi").select("doc_id", "len", "term", "tf")
+    return rows if words.unique_ids(docs, id_col) else rows.groupBy("doc_id", "len", "term").agg(F.sum("tf").alias("tf"))
 
 
 def clarity_idf(df: Column, n: Column) -> Column:
@@ -44,7 +45,11 @@ def clarity_idf(df: Column, n: Column) -> Column:
 
 def idf_table(posted: DataFrame, n: int) -> DataFrame:
     """(term, df, idf, idf_plain) over postings of n documents."""
-    return posted.groupBy("term").agg(F.count("*").alias("df")).select("term", "df", clarity_idf(F.col("df"), F.lit(n)).alias("idf"), F.log(F.lit(n) / F.col("df")).alias("idf_plain"))
+    return with_idf(posted.groupBy("term").agg(F.count("*").alias("df")), n)
+
+
+def with_idf(counts: DataFrame, n: int) -> DataFrame:
+    return counts.select("term", "df", clarity_idf(F.col("df"), F.lit(n)).alias("idf"), F.log(F.lit(n) / F.col("df")).alias("idf_plain"))
 
 
 def matches(posted: DataFrame, terms: DataFrame, mode: str = "or", absent: str | None = None) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from termloom.functions import words
 from termloom.functions.text import stem_table
-from termloom.operators import evaluate, expand, search
+from termloom.operators import evaluate, expand, ranking, search
 from termloom.operators.counts import doc_freq
 from termloom.plans.common import SQL_DOCS, SQL_RELATED, SQL_TOPICS, load, mined, pair_terms, posted, topic_terms
 from termloom.sources.shared import sized, table
@@ -27,15 +28,31 @@ def idf_table(spark, sf):
     return found.select("term", "df", F.round("idf", 6).alias("idf"), F.round("idf_plain", 6).alias("idf_plain"))
 
 
-def _ready(spark, sf, padding=()):
-    terms = topic_terms(spark, sf, padding)
+def _ready(spark, sf, terms):
     rows = posted(spark, sf, terms)
-    return terms, rows, table(search.idf_table(rows, load(spark, sf, "documents").count()))
+    return rows, table(search.idf_table(rows, load(spark, sf, "documents").count()))
 
 
-def _bm25(spark, sf, mode="or", padding=(), **options):
-    terms, rows, idf = _ready(spark, sf, padding)
-    return search.top(search.bm25(search.matches(rows, terms, mode), idf, powerset=terms if mode == "powerset" else None, **options), TOP)
+def _bm25(spark, sf, mode="or", padding=(), n=TOP, **options):
+    return _scored(spark, sf, topic_terms(spark, sf, padding), n, [{"mode": mode, **options}])[0]
+
+
+def _scored(spark, sf, terms, n, runs):
+    """The n best documents of each topic in each of the runs (options of ranking.bm25), by one index or by one join."""
+    found = ranking.index(load(spark, sf, "documents"), terms)
+    if found:
+        return [search.top(ranking.bm25(found, terms, n, **options), n) for options in runs]
+    rows, idf = _ready(spark, sf, terms)
+    out = []
+    for options in runs:
+        mode = options.get("mode", "or")
+        met = search.matches(rows, terms, mode)
+        out.append(search.top(search.bm25(met, idf, powerset=terms if mode == "powerset" else None, **{k: v for k, v in options.items() if k != "mode"}), n))
+    return out
+
+
+#: The runs that are compared: plain weights, and weights that counts and lengths change.
+PLAIN, LENGTHS = {}, {"k1": 1.2, "b": 0.75, "average": 250.0, "binary": False}
 
 
 def bm25_or(spark, sf):
@@ -51,7 +68,7 @@ def bm25_powerset(spark, sf):
 
 
 def bm25_lengths(spark, sf):
-    return _bm25(spark, sf, k1=1.2, b=0.75, average=250.0, binary=False)
+    return _bm25(spark, sf, **LENGTHS)
 
 
 def bm25_padded(spark, sf):
@@ -59,7 +76,11 @@ def bm25_padded(spark, sf):
 
 
 def bm25_grid(spark, sf):
-    terms, rows, idf = _ready(spark, sf)
+    terms = topic_terms(spark, sf)
+    found = ranking.index(load(spark, sf, "documents"), terms)
+    if found:
+        return search.top(ranking.grid(found, terms, BS, K1S, 250.0, 10), 10, ("b", "k1", "qid"))
+    rows, idf = _ready(spark, sf, terms)
     return search.top(search.bm25_grid(search.matches(rows, terms), idf, BS, K1S, 250.0, 10), 10, ("b", "k1", "qid"))
 
 
@@ -91,9 +112,7 @@ def related_itemsets_rrf(spark, sf):
 
 
 def fused_runs(spark, sf):
-    terms, rows, idf = _ready(spark, sf)
-    met = table(search.matches(rows, terms))
-    one, two = search.top(search.bm25(met, idf)), search.top(search.bm25(met, idf, 1.2, 0.75, 250.0, False))
+    one, two = _scored(spark, sf, topic_terms(spark, sf), search.RESULTS, [PLAIN, LENGTHS])
     return search.fuse(one.unionByName(two))
 
 
@@ -117,17 +136,18 @@ def expand_kl(spark, sf):
 
 
 def _feedback(spark, sf, first):
-    """What feedback needs, from one stored table of postings: topics, postings, idf, matches, the best documents' terms."""
-    terms, post = topic_terms(spark, sf), table(posting_table(spark, sf))
-    idf = table(search.idf_table(post, load(spark, sf, "documents").count()))
-    met = table(search.matches(post, terms))
-    hits = table(search.top(search.bm25(met, idf), first))
-    near = table(post.join(sized(table(hits.select("doc_id").distinct())), "doc_id", "left_semi"))
-    return terms, post, idf, met, hits, near
+    """What feedback needs: topics, the idf of their terms and of those of the best documents, these documents, their postings."""
+    docs, terms = load(spark, sf, "documents"), topic_terms(spark, sf)
+    hits = table(_scored(spark, sf, terms, first, [PLAIN])[0])
+    near = table(search.postings(docs.join(sized(table(hits.select("doc_id").distinct())), "doc_id", "left_semi")))
+    asked = table(near.select("term").union(terms.select("term")).distinct())
+    held = words.doc_counts(docs) if words.unique_ids(docs) else search.postings(docs).select(F.col("term").alias("token"), F.lit(1).cast("long").alias("freq"))
+    df = held.withColumnRenamed("token", "term").join(sized(asked), "term", "left_semi").groupBy("term").agg(F.sum("freq").alias("df"))
+    return terms, table(search.with_idf(df, docs.count())), hits, near
 
 
 def expand_idf_increase(spark, sf):
-    terms, _, idf, _, hits, near = _feedback(spark, sf, 10)
+    terms, idf, hits, near = _feedback(spark, sf, 10)
     return expand.idf_increase(hits, near, terms, idf, load(spark, sf, "documents").count())
 
 
@@ -144,11 +164,13 @@ CLUSTERS = "cluster int, term string, score double"
 
 def expand_clusters_results(spark, sf):
     """Terms of the best 30 documents of each topic, clustered by document."""
-    terms, _, idf, _, hits, near = _feedback(spark, sf, 30)
+    terms, idf, hits, near = _feedback(spark, sf, 30)
+    docs = load(spark, sf, "documents")
+    held = words.stats(docs).agg(F.sum("distinct_terms")) if words.unique_ids(docs) else search.postings(docs).agg(F.count("*"))
     known = near.select("doc_id", "term").join(idf.select("term", "df"), "term")
     sets = known.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("term", F.col("df").cast("double").alias("df")))).alias("t"))
     related = hits.join(sets.where(F.size("t") >= expand.MIN_SIZE), "doc_id").select("qid", F.lit(1).cast("long").alias("support"), "rank", "t")
-    return expand.modelled(related, terms, _length(idf), lambda h: expand.cluster_patterns(h, False), CLUSTERS, 1)
+    return expand.modelled(related, terms, float(held.first()[0] or 1), lambda h: expand.cluster_patterns(h, False), CLUSTERS, 1)
 
 
 def expanded_terms(spark, sf):
@@ -158,23 +180,33 @@ def expanded_terms(spark, sf):
 
 
 def _expansion(spark, sf, per_term=2):
-    terms, post, idf, met, hits, near = _feedback(spark, sf, 10)
+    """The topics' terms and those chosen by feedback."""
+    terms, idf, hits, near = _feedback(spark, sf, 10)
     scores = expand.idf_increase(hits, near, terms, idf, load(spark, sf, "documents").count()).withColumn("cluster", F.lit(0))
-    return terms, post, idf, met, table(expand.choose_terms(scores, terms, per_term))
+    return terms, table(expand.choose_terms(scores, terms, per_term))
 
 
 def expanded_run(spark, sf):
     """Topics expanded by pseudo-relevance feedback, run over the documents, kept to those that match the topic itself."""
-    terms, post, idf, met, chosen = _expansion(spark, sf)
-    run = search.bm25(search.matches(post, table(expand.expanded(terms, chosen))), idf)
-    return search.top(expand.keep_matching(run, met), TOP)
+    terms, chosen = _expansion(spark, sf)
+    wide = table(expand.expanded(terms, chosen))
+    found = ranking.index(load(spark, sf, "documents"), wide)
+    if found:
+        return search.top(ranking.expanded(found, terms, wide, TOP), TOP)
+    rows, idf = _ready(spark, sf, wide)
+    return search.top(expand.keep_matching(search.bm25(search.matches(rows, wide), idf), search.matches(rows, terms)), TOP)
 
 
 def filtered_run(spark, sf):
     """The same expansion in the mode in which an added term counts beside each of the topic's own terms."""
-    terms, post, idf, met, chosen = _expansion(spark, sf)
-    more = search.matches(post, table(chosen.select("qid", "term", F.col("weight").alias("qw"))))
-    return search.top(expand.filtered_scores(met, more, idf), TOP)
+    terms, chosen = _expansion(spark, sf)
+    more = table(chosen.select("qid", "term", F.col("weight").alias("qw")))
+    both = table(terms.select("qid", "term", "qw").union(more))
+    found = ranking.index(load(spark, sf, "documents"), both)
+    if found:
+        return search.top(ranking.filtered(found, terms, more, TOP), TOP)
+    rows, idf = _ready(spark, sf, both)
+    return search.top(expand.filtered_scores(search.matches(rows, terms), search.matches(rows, more), idf), TOP)
 
 
 def expanded_levels(spark, sf):
@@ -188,14 +220,21 @@ def closed_hits(spark, sf):
     return search.closed_hits(_related(spark, sf)[0]).select("qid", "items", "support", "rank")
 
 
+def _subsets(spark, sf, by):
+    terms = topic_terms(spark, sf)
+    found = ranking.index(load(spark, sf, "documents"), terms)
+    if found:
+        return search.top(ranking.subset_boosted(found, terms, TOP, by), TOP)
+    rows, idf = _ready(spark, sf, terms)
+    return search.top(search.subset_boosted(search.matches(rows, terms), idf, terms, by), TOP)
+
+
 def bm25_subsets_idf(spark, sf):
-    terms, rows, idf = _ready(spark, sf)
-    return search.top(search.subset_boosted(search.matches(rows, terms), idf, terms), TOP)
+    return _subsets(spark, sf, "idf")
 
 
 def bm25_subsets_length(spark, sf):
-    terms, rows, idf = _ready(spark, sf)
-    return search.top(search.subset_boosted(search.matches(rows, terms), idf, terms, "length"), TOP)
+    return _subsets(spark, sf, "length")
 
 
 def bm25_stemmed(spark, sf):
@@ -216,12 +255,16 @@ def english_run(spark, sf):
 
 
 def _runs(spark, sf):
-    terms, rows, idf = _ready(spark, sf)
-    met = table(search.matches(rows, terms))
-    one = search.top(search.bm25(met, idf)).withColumn("run", F.lit("plain"))
-    two = search.top(search.bm25(met, idf, 1.2, 0.75, 250.0, False)).withColumn("run", F.lit("lengths"))
+    terms = topic_terms(spark, sf)
+    one, two = _scored(spark, sf, terms, search.RESULTS, [PLAIN, LENGTHS])
     qrels = terms.select("qid").distinct().crossJoin(load(spark, sf, "labels").select("doc_id", F.col("quality").alias("rel")))
-    return table(one.unionByName(two)), qrels
+    return table(one.withColumn("run", F.lit("plain")).unionByName(two.withColumn("run", F.lit("lengths")))), qrels
+
+
+def _judged_runs(spark, sf):
+    """_runs with the judgements of the documents in them alone."""
+    run, qrels = _runs(spark, sf)
+    return run, table(run.select("qid", "doc_id").distinct().join(load(spark, sf, "labels").select("doc_id", F.col("quality").alias("rel")), "doc_id"))
 
 
 def run_metrics(spark, sf):
@@ -233,7 +276,7 @@ def top_runs(spark, sf):
 
 
 def append_judgement(spark, sf):
-    return evaluate.judged(*_runs(spark, sf)).select("run", "qid", "doc_id", "rank", "judgement")
+    return evaluate.judged(*_judged_runs(spark, sf)).select("run", "qid", "doc_id", "rank", "judgement")
 
 
 def unjudged(spark, sf):
@@ -241,7 +284,7 @@ def unjudged(spark, sf):
 
 
 def judged_texts(spark, sf):
-    run, qrels = _runs(spark, sf)
+    run, qrels = _judged_runs(spark, sf)
     return evaluate.judged_texts(run, qrels, load(spark, sf, "documents"), 5).select("run", "qid", "doc_id", "place", "judgement", F.md5("text").alias("digest"))
 
 
