@@ -93,10 +93,14 @@ def doc_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.mapInArrow(run, "token string, freq long")
 
 
-def held(docs: DataFrame, words: list[str], id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, len, t, f) of the rows that hold any of the words: their numbers in `words` and how often each stands."""
+def held(docs: DataFrame, words: list[str], numbers: list[int] | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, len, t, f) of the rows that hold any of the words: their numbers and how often each stands.
+
+    A word's number is its place in `words`, or that in `numbers`; counts of words of one number are added up.
+    """
     rows = _lowered(docs, id_col, text)
     sent = rows.sparkSession.sparkContext.broadcast(words)
+    number = None if numbers is None else np.array(numbers, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pa.array(sent.value, pa.large_string())
@@ -104,6 +108,10 @@ def held(docs: DataFrame, words: list[str], id_col: str = "doc_id", text: str =
             row, code, tf, vocabulary, size = word_counts(batch.column(1))
             place = pc.index_in(vocabulary, value_set=known).fill_null(-1).to_numpy()[code] if len(vocabulary) else code
             row, place, tf = (x[place >= 0] for x in (row, place, tf))
+            if number is not None and len(row):
+                many = number.max() + 1
+                key, at = np.unique(row * many + number[place], return_inverse=True)
+                row, place, tf = key // many, key % many, np.bincount(at, tf).astype(np.int64)
             n = np.bincount(row, minlength=len(batch))
             kept = np.flatnonzero(n)
             ends = pa.array(np.concatenate(([0], np.cumsum(n[kept]))), pa.int32())

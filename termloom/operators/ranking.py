@@ -86,9 +86,14 @@ class Asked:
 class Index:
     """Documents by the words that any query asks for."""
 
-    def __init__(self, docs: DataFrame, names: list[str], n_docs: int) -> None:
-        self.names, self.n_docs = names, n_docs
-        self.held = table(words.held(docs, names))
+    def __init__(self, docs: DataFrame, names: list[str], n_docs: int, forms: list[tuple[str, str]] | None = None) -> None:
+        self.names = names
+        if forms is None:
+            self.held = table(words.held(docs, names))
+        else:
+            number = {w: i for i, w in enumerate(names)}
+            forms = [(form, w) for form, w in forms if w in number]
+            self.held = table(words.held(docs, [form for form, _ in forms], [number[w] for _, w in forms]))
         counts = self.held.select(F.explode("t").alias("t")).groupBy("t").agg(F.count("*").alias("df")).select("t", "df", clarity_idf(F.col("df"), F.lit(n_docs)).alias("idf")).collect()
         self.idf = {names[r["t"]]: r["idf"] for r in counts}
 
@@ -159,14 +164,20 @@ class Index:
         return rows.mapInArrow(run, f"_group long, doc_id {kind}, score double")
 
 
-def index(docs: DataFrame, terms: DataFrame) -> Index | None:
-    """The documents by the terms of the queries (qid, term, ...), None where the joins of search must do."""
+def index(docs: DataFrame, terms: DataFrame, stems: DataFrame | None = None) -> Index | None:
+    """The documents by the terms of the queries (qid, term, ...), None where the joins of search must do.
+
+    With `stems` (token, stem), of the tokens that have one of the queries' stems, terms are stems.
+    """
     if not isinstance(docs.schema["doc_id"].dataType, IntegralType) or not words.unique_ids(docs):
         return None
     n_pairs, n_queries = terms.agg(F.count("*"), F.count_distinct("qid")).first()
     if not n_pairs or n_pairs > PAIRS or n_queries > QUERIES:
         return None
-    found = Index(docs, sorted(r["term"] for r in terms.select("term").distinct().collect()), docs.count())
+    if stems is not None and stems.count() > PAIRS:
+        return None
+    forms = None if stems is None else sorted((r["token"], r["stem"]) for r in stems.collect())
+    found = Index(docs, sorted(r["term"] for r in terms.select("term").distinct().collect()), docs.count(), forms)
     found.kind = terms.schema["qid"].dataType.simpleString()
     return found
 

@@ -24,7 +24,10 @@ def posting_table(spark, sf):
 
 def idf_table(spark, sf):
     docs = load(spark, sf, "documents")
-    found = search.idf_table(search.postings(docs), docs.count())
+    if words.unique_ids(docs):
+        found = search.with_idf(doc_freq(docs).select(F.col("token").alias("term"), F.col("freq").alias("df")), docs.count())
+    else:
+        found = search.idf_table(search.postings(docs), docs.count())
     return found.select("term", "df", F.round("idf", 6).alias("idf"), F.round("idf_plain", 6).alias("idf_plain"))
 
 
@@ -240,10 +243,13 @@ def bm25_subsets_length(spark, sf):
 def bm25_stemmed(spark, sf):
     """Topics and documents by the stems of their terms."""
     docs = load(spark, sf, "documents")
-    post = table(search.postings(docs))
-    stems = table(stem_table(post.select(F.col("term").alias("token"))))
+    stems = table(stem_table(words.doc_counts(docs).select("token").distinct()))
     terms = search.stemmed_terms(topic_terms(spark, sf), stems)
-    rows = table(search.stemmed(post, stems).join(sized(table(terms.select("term").distinct())), "term", "left_semi"))
+    asked = table(stems.select("token", "stem").join(sized(table(terms.select(F.col("term").alias("stem")).distinct())), "stem", "left_semi"))
+    found = ranking.index(docs, terms, asked)
+    if found:
+        return search.top(ranking.bm25(found, terms, TOP), TOP)
+    rows = table(search.stemmed(search.postings(docs, only=asked.select(F.col("token").alias("term"))), asked))
     return search.top(search.bm25(search.matches(rows, terms), table(search.idf_table(rows, docs.count()))), TOP)
 
 

@@ -13,7 +13,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from termloom.functions import text as fn
-from termloom.operators import counts, evaluate, expand, graph, mining, search
+from termloom.functions import words
+from termloom.operators import counts, evaluate, expand, graph, mining, ranking, search
 from termloom.plans import mining_queries, search_queries
 from termloom.sources import files, shared
 from termloom.streaming import windows
@@ -525,3 +526,80 @@ def test_models_of_many_queries_in_a_group_and_without_copies_of_the_text(spark)
     assert rows(one) == rows(many) and len(rows(one)) > 5
     grouped = [line for line in many._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in line]
     assert grouped and not any("items#" in line for line in grouped)
+
+
+ODD_TEXTS = [None, "", "  ", "The the\tTHE a#b @c-9", "Straße İI K k", "#x##y é9z", "tail", "head of tail"]
+
+
+def test_words_of_a_batch_are_the_tokens(spark):
+    docs = spark.createDataFrame(list(enumerate(ODD_TEXTS)), "doc_id long, text string")
+    want = {(i, len(t), w, t.count(w)) for i, t in ((r["doc_id"], r["t"] or []) for r in docs.select("doc_id", fn.tokens(F.col("text")).alias("t")).collect()) for w in t}
+    assert {tuple(r) for r in words.flat(docs).collect()} == want
+    assert {tuple(r) for r in counts.doc_freq(docs).collect()} == {(w, sum(x[2] == w for x in want)) for w in {x[2] for x in want}}
+    rows = {r["doc_id"]: (r["len"], r["distinct_terms"], r["max_tf"]) for r in words.stats(docs).collect()}
+    assert rows[1] == (0, 0, None) and rows[3] == (6, 4, 3) and 0 not in rows
+
+
+@pytest.fixture(scope="module")
+def retrieval(spark):
+    r = random.Random(8)
+    docs = spark.createDataFrame([(i, " ".join(r.choices("abcdefghij", range(10, 0, -1), k=r.randint(1, 30)))) for i in range(90)], "doc_id long, text string")
+    topics = spark.createDataFrame([(1, "a b c"), (2, "c c j zz"), (3, "h"), (4, "zz")], "qid long, text string")
+    terms = search.query_terms(topics, "qid", "text")
+    rows = shared.table(search.postings(docs))
+    return docs, terms, rows, shared.table(search.idf_table(rows, 90))
+
+
+def ranks(df, by=("qid",)):
+    return {tuple(r[c] for c in (*by, "doc_id", "score", "rank")) for r in search.top(df, 7, by).collect()}
+
+
+@pytest.mark.parametrize("options", [{}, {"mode": "and"}, {"mode": "powerset"}, search_queries.LENGTHS])
+def test_products_rank_as_joins_do(spark, retrieval, options):
+    docs, terms, rows, idf = retrieval
+    mode, rest = options.get("mode", "or"), {k: v for k, v in options.items() if k != "mode"}
+    want = search.bm25(search.matches(rows, terms, mode), idf, powerset=terms if mode == "powerset" else None, **rest)
+    assert ranks(ranking.bm25(ranking.index(docs, terms), terms, 7, **options)) == ranks(want)
+
+
+def test_products_of_subsets_grids_and_expansions(spark, retrieval):
+    docs, terms, rows, idf = retrieval
+    found, met = ranking.index(docs, terms), search.matches(rows, terms)
+    for by in ("idf", "length"):
+        assert ranks(ranking.subset_boosted(found, terms, 7, by)) == ranks(search.subset_boosted(met, idf, terms, by))
+    pair = ("b", "k1", "qid")
+    assert ranks(ranking.grid(found, terms, [0.0, 0.7], [0.0, 1.2, 99.0], 20.0, 7), pair) == ranks(search.bm25_grid(met, idf, [0.0, 0.7], [0.0, 1.2, 99.0], 20.0), pair)
+    more = spark.createDataFrame([(1, "d", 0.5), (1, "j", 0.5), (3, "b", 0.5)], "qid long, term string, qw double")
+    wide = terms.unionByName(more)
+    found = ranking.index(docs, wide)
+    assert ranks(ranking.expanded(found, terms, wide, 7)) == ranks(expand.keep_matching(search.bm25(search.matches(rows, wide), idf), met))
+    assert ranks(ranking.filtered(found, terms, more, 7)) == ranks(expand.filtered_scores(met, search.matches(rows, more), idf))
+
+
+def test_products_of_stems(spark, retrieval):
+    docs, terms, rows, _ = retrieval
+    stems = spark.createDataFrame([(x, "c" if x in "cj" else x) for x in "abcdefghij"], "token string, stem string")
+    asked = search.stemmed_terms(terms, stems)
+    held = search.stemmed(rows, stems)
+    want = search.bm25(search.matches(held, asked), search.idf_table(held, 90), **search_queries.LENGTHS)
+    assert ranks(ranking.bm25(ranking.index(docs, asked, stems), asked, 7, **search_queries.LENGTHS)) == ranks(want)
+
+
+def test_best_of_groups_over_many_blocks(spark):
+    best, r = ranking.Best(3, 4), np.random.default_rng(1)
+    best.limit, seen = 10, []
+    for _ in range(30):
+        g, s, i = r.integers(0, 3, 5), r.integers(0, 9, 5).astype(float), r.integers(0, 1000, 5)
+        seen += zip(g, s, i)
+        kept = s >= best.least[g]
+        best.add(g[kept], s[kept], i[kept])
+        best.limit = 10
+    want = [x for k in range(3) for x in sorted((x for x in seen if x[0] == k), key=lambda x: (-x[1], -x[2]))[:4]]
+    assert list(zip(*best.rows())) == want
+
+
+def test_repeated_ids_are_left_to_the_joins(spark, retrieval):
+    docs, terms, _, _ = retrieval
+    assert ranking.index(docs.unionByName(docs.limit(1)), terms) is None
+    twice = spark.createDataFrame([(1, "a b"), (1, "b c"), (1, "c")], "doc_id long, text string")
+    assert {tuple(r) for r in search.postings(twice).collect()} == {(1, 2, "a", 1), (1, 2, "b", 2), (1, 2, "c", 1), (1, 1, "c", 1)}
