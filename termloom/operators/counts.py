@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from termloom.functions import words
 from termloom.functions.text import STOP_WORDS, tokens
 from termloom.sources.shared import ranked, table
 
@@ -15,6 +16,8 @@ DECAY = 0.1
 
 def doc_freq(docs: DataFrame, text: str = "text", url: bool = False) -> DataFrame:
     """(token, freq): the number of rows that hold each token. Partial counts are made before the shuffle."""
+    if not url:
+        return words.doc_counts(docs, text).groupBy("token").agg(F.sum("freq").alias("freq"))
     held = docs.select(F.explode(F.array_distinct(tokens(F.col(text), url))).alias("token"))
     return held.groupBy("token").agg(F.count("*").alias("freq"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from termloom.functions import words
 from termloom.functions.text import tokens
 from termloom.operators import graph, mining
 from termloom.operators.counts import doc_freq, epoch_seconds, prune_flist
@@ -135,7 +136,7 @@ def vocabulary_mapped(spark, sf):
 
     docs = load(spark, sf, "documents")
     ids = table(with_ids(prune_flist(doc_freq(docs), 20, 100)).select("token", "id"))
-    each = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).join(sized(ids), "token")
+    each = words.flat(docs).select("doc_id", F.col("term").alias("token")).join(sized(ids), "token")
     return each.groupBy("doc_id").agg(F.concat_ws(" ", F.transform(F.sort_array(F.collect_list("id")), lambda i: i.cast("string"))).alias("ids"))
 
 
