@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window
 
 from termloom.llm.common import BROADCAST_ROWS, dropped, free_name, join_ids, mix, quoted, stored, token_hashes
@@ -317,13 +318,40 @@ def _in_blocks(rows: DataFrame, group: str, blocks: Column) -> DataFrame:
     return rows.select(cell.alias("cell"), side.alias("side"), *rest).repartition("cell").sortWithinPartitions("cell")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, root) of the nodes of all edges (a, b) of the batches: roots hook onto smaller ones, then paths are cut short."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if not held:
+        return
+    a, b = (np.concatenate(c) for c in zip(*held))
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        p, q = root[x], root[y]
+        apart = p != q
+        if not apart.any():
+            break
+        x, y, p, q = x[apart], y[apart], p[apart], q[apart]
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+        while not np.array_equal(root, short := root[root]):
+            root = short
+    for low in range(0, len(nodes), 1 << 18):
+        part = slice(low, low + (1 << 18))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[part]), pa.array(nodes[root[part]])], names=["id", "root"])
+
+
+def components(edges: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """(id, root) of every node of the edges (a, b), root being the smallest id of its connected component.
 
-    Alternates large-star and small-star contraction; each round is written to the shared folder.
+    Up to `limit` edges of integers are joined in one task. More of them, or ids of another type, alternate large-star
+    and small-star contraction; each round is written to the shared folder.
     """
     flip = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = stored(edges.select("a", "b").where("a <> b").distinct())
+    kind = edges.schema["a"].dataType
+    if isinstance(kind, IntegralType) and edges.schema["b"].dataType == kind and edges.count() <= limit:
+        return edges.coalesce(1).mapInArrow(_joined, f"id {kind.simpleString()}, root {kind.simpleString()}")
     state = None
     while True:
         both = flip(edges)

@@ -321,3 +321,19 @@ def test_mixing_odd_rows(spark):
     assert {x["source"] for x in out.collect()} == {"web"}
     assert mixing.mix_sources(table(spark, rows), weights={}).count() == 0
     assert mixing.mix_sources(table(spark, rows[:0])).count() == 0
+
+
+def test_components_in_one_task_as_by_contraction(spark):
+    rng = random.Random(4)
+    chain = [(i, i + 1) for i in range(0, 200)]
+    rng.shuffle(chain)
+    edges = chain + [(rng.randrange(1000, 1300), rng.randrange(1000, 1300)) for _ in range(150)] + [(-5, 2**60), (7, 7)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    spark.sparkContext.setJobGroup("components", "one task")
+    found = {tuple(r) for r in jaccard.components(df).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("components"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found == {tuple(r) for r in jaccard.components(df, limit=0).collect()}
+    assert {r for i, r in found if 0 <= i <= 200} == {0} and (2**60, -5) in found
+    assert jobs <= 8  # a round of contraction for every doubling of the chain was several jobs each
+    assert not jaccard.components(df.limit(0)).collect()
