@@ -65,7 +65,10 @@ def frequent(transactions: DataFrame, min_support: int = MIN_SUPPORT, col: str =
     if made["pairs"] > PAIRS_PER_ITEM * made["items"]:
         found = _grown(placed.select(col), min_support, col, partitions)
         return table(found) if found is not None else often.select(F.array("i").alias("items"), "support").limit(0)
-    pairs = item_pairs(placed, col)
+    # pairs are counted by a hash first, and only those of a hash with the support are counted themselves
+    pairs = item_pairs(placed, col).withColumn("_h", F.xxhash64("a", "b"))
+    hashes = table(pairs.groupBy("_h").agg(F.count("*").alias("support")).where(F.col("support") >= min_support).select("_h"))
+    pairs = table(pairs.join(sized(hashes), "_h", "left_semi").drop("_h"))
     both = table(pairs.groupBy("a", "b").agg(F.count("*").alias("support")).where(F.col("support") >= min_support))
     found = often.select(F.array("i").alias("items"), "support").unionByName(both.select(F.array("a", "b").alias("items"), "support"))
     held = pairs.join(sized(both.select("a", "b")), ["a", "b"], "left_semi")

@@ -603,3 +603,11 @@ def test_repeated_ids_are_left_to_the_joins(spark, retrieval):
     assert ranking.index(docs.unionByName(docs.limit(1)), terms) is None
     twice = spark.createDataFrame([(1, "a b"), (1, "b c"), (1, "c")], "doc_id long, text string")
     assert {tuple(r) for r in search.postings(twice).collect()} == {(1, 2, "a", 1), (1, 2, "b", 2), (1, 2, "c", 1), (1, 1, "c", 1)}
+
+
+def test_pairs_of_one_hash_are_counted_apart(spark, monkeypatch):
+    rows = spark.createDataFrame([(["a", "b", "c"],), (["a", "b", "c"],), (["a", "d"],), (["b", "d"],), (["c"],)], "items array<string>")
+    found = {tuple(r["items"]): r["support"] for r in mining.frequent(rows, 2).collect()}
+    monkeypatch.setattr(mining.F, "xxhash64", lambda *_: F.lit(0).cast("long"))
+    assert {tuple(r["items"]): r["support"] for r in mining.frequent(rows, 2).collect()} == found
+    assert found == {("a",): 3, ("b",): 3, ("c",): 3, ("d",): 2, ("a", "b"): 2, ("a", "c"): 2, ("b", "c"): 2, ("a", "b", "c"): 2}
