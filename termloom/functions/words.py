@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 _IN = np.zeros(256, bool)
 _IN[[*b"abcdefghijklmnopqrstuvwxyz0123456789#@"]] = True
+#: Bytes of text that are split at once where words are looked up.
+PIECE = 1 << 23
 
 
 def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -20,17 +22,32 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
-    inside = _IN[data]
+    inside = _IN.take(data)
     start = inside.copy()
-    start[1:] &= ~inside[:-1]
+    start[1:] = inside[1:] > inside[:-1]
     firsts = offsets[:-1][offsets[:-1] < offsets[1:]]
     start[firsts] = inside[firsts]
     end = inside.copy()
-    end[:-1] &= ~inside[1:] | start[1:]
+    end[:-1] = inside[:-1] > (inside[1:] > start[1:])
     at = np.flatnonzero(start)
     ends = np.concatenate(([0], np.cumsum(np.flatnonzero(end) - at + 1))).astype(np.int64)
     found = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(data[inside])])
-    return np.searchsorted(offsets, at, side="right") - 1, found
+    return np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(at, offsets))), found
+
+
+def pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of whole rows that end in the same PIECE bytes of its texts."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy().astype(np.int64)) // PIECE
+    edges = [0, *(np.flatnonzero(ends[1:] != ends[:-1]) + 1).tolist(), len(batch)]
+    return (batch.slice(low, high - low) for low, high in zip(edges, edges[1:]) if low < high)
+
+
+def known_words(texts: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in `known`) of the tokens that are known, in order, and the length of each row."""
+    row, token = split_words(texts)
+    place = pc.index_in(token, value_set=known).fill_null(-1).to_numpy()
+    held = np.flatnonzero(place >= 0)
+    return row[held], place[held], np.bincount(row, minlength=len(texts))
 
 
 def word_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
@@ -100,22 +117,19 @@ def held(docs: DataFrame, words: list[str], numbers: list[int] | None = None, id
     """
     rows = _lowered(docs, id_col, text)
     sent = rows.sparkSession.sparkContext.broadcast(words)
-    number = None if numbers is None else np.array(numbers, np.int64)
+    number = np.arange(len(words)) if numbers is None else np.array(numbers, np.int64)
+    many = int(number.max(initial=0)) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pa.array(sent.value, pa.large_string())
         for batch in batches:
-            row, code, tf, vocabulary, size = word_counts(batch.column(1))
-            place = pc.index_in(vocabulary, value_set=known).fill_null(-1).to_numpy()[code] if len(vocabulary) else code
-            row, place, tf = (x[place >= 0] for x in (row, place, tf))
-            if number is not None and len(row):
-                many = number.max() + 1
-                key, at = np.unique(row * many + number[place], return_inverse=True)
-                row, place, tf = key // many, key % many, np.bincount(at, tf).astype(np.int64)
-            n = np.bincount(row, minlength=len(batch))
-            kept = np.flatnonzero(n)
-            ends = pa.array(np.concatenate(([0], np.cumsum(n[kept]))), pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (place, tf)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept)), pa.array(size[kept]), *lists], ["doc_id", "len", "t", "f"])
+            for part in pieces(batch, 1):
+                row, place, size = known_words(part.column(1), known)
+                key, tf = np.unique(row * many + number[place], return_counts=True)
+                n = np.bincount(key // many, minlength=len(part))
+                kept = np.flatnonzero(n)
+                ends = pa.array(np.concatenate(([0], np.cumsum(n[kept]))), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (key % many, tf)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(kept)), pa.array(size[kept]), *lists], ["doc_id", "len", "t", "f"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, len long, t array<int>, f array<int>")

@@ -9,6 +9,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -540,6 +541,35 @@ def test_words_of_a_batch_are_the_tokens(spark):
     assert rows[1] == (0, 0, None) and rows[3] == (6, 4, 3) and 0 not in rows
 
 
+def test_pieces_of_a_batch_are_short_and_whole(monkeypatch):
+    monkeypatch.setattr(words, "PIECE", 16)
+    texts = pa.array(["a b", "", None, "c" * 40, "b a b", "b", "x"] * 5, pa.string()).slice(3)
+    parts = list(words.pieces(pa.RecordBatch.from_arrays([texts], ["text"]), 0))
+    assert [x for p in parts for x in p.column(0).to_pylist()] == texts.to_pylist()
+    assert all(sum(len(x or "") for x in p.column(0).to_pylist()[1:]) < 16 for p in parts) and len(parts) > 5
+    known, before, found, lengths = pa.array(["b", "zz", "a"], pa.large_string()), 0, [], []
+    for p in parts:
+        row, place, size = words.known_words(p.column(0), known)
+        found += zip((row + before).tolist(), known.take(pa.array(place)).to_pylist())
+        lengths, before = lengths + size.tolist(), before + len(p)
+    assert found == [(i, w) for i, x in enumerate(texts.to_pylist()) for w in (x or "").split() if w in "ab"]
+    assert lengths == [len((x or "").split()) for x in texts.to_pylist()]
+    assert list(words.pieces(pa.RecordBatch.from_arrays([texts.slice(0, 0)], ["text"]), 0)) == []
+
+
+def test_looked_up_words_over_many_pieces(spark):
+    long = [x for x in ODD_TEXTS if x] * 3 + ["tail " * (words.PIECE // 4)] * 3
+    docs = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string").coalesce(1)
+    want = {(i, len(t), w, t.count(w)) for i, t in ((r["doc_id"], r["t"]) for r in docs.select("doc_id", fn.tokens(F.col("text")).alias("t")).collect()) for w in {"9", "the", "tail"} & set(t)}
+    forms, number = ["9", "the", "nowhere", "tail"], {"9": 0, "the": 1, "tail": 0}
+    got = words.held(docs, forms).collect()
+    assert {(r["doc_id"], r["len"], forms[w], n) for r in got for w, n in zip(r["t"], r["f"])} == want and len(got) == len({x[0] for x in want})
+    merged = {}
+    for i, size, w, n in want:
+        merged[i, size, number[w]] = merged.get((i, size, number[w]), 0) + n
+    assert {(r["doc_id"], r["len"], w, n) for r in words.held(docs, forms, [0, 1, 1, 0]).collect() for w, n in zip(r["t"], r["f"])} == {(*k, n) for k, n in merged.items()}
+
+
 @pytest.fixture(scope="module")
 def retrieval(spark):
     r = random.Random(8)
